@@ -37,7 +37,7 @@ class Codes:
         return np.concatenate([signs, self.base[:, None], np.ones((len(signs), 1), np.float32), bound[:, None]], 1, dtype=np.float32)
 
 
-def search(data: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, center: np.ndarray, turn: np.ndarray, epsilon: float, step: int = 512, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def search(data: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, center: np.ndarray, turn: np.ndarray, epsilon: float, step: int = 512, width: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """(row of data, cosine) of the ``k`` most similar to each query; -1 where there are fewer.
 
     Both matrices hold unit rows in double precision; ``own`` is the query's own row or -1. Of equal values the smaller row
@@ -56,21 +56,32 @@ def search(data: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, cente
         for w in range(0, len(x), width):
             upper = left @ plane[:, w : w + width]
             inside = np.flatnonzero((me >= w) & (me < w + width))
-            upper[inside, me[inside] - w] = -np.inf
+            upper[inside, me[inside] - w] = -np.inf  # a query isn't its own neighbour
             least = value[:, -1].astype(np.float32)
-            if w == 0 and upper.shape[1] > 4 * k:
-                some = np.argpartition(upper, -2 * k, axis=1)[:, -2 * k :]
-                exact = np.einsum("ijk,ik->ij", x[some], q)
+            block = x[w : w + width]
+            if w == 0 and len(block) > 64 * k:
+                # the best row of each of many groups, by bound; exact values of the best of these give a first threshold
+                groups = len(block) // 32
+                some = upper[:, : groups * 32].reshape(len(q), groups, 32).argmax(2) + np.arange(groups) * 32
+                order = np.argpartition(np.take_along_axis(upper, some, 1), -2 * k, axis=1)[:, -2 * k :]
+                some = np.take_along_axis(some, order, 1)
+                exact = np.einsum("ijk,ik->ij", block[some], q)
                 exact[me[:, None] == some] = -np.inf
-                least = np.sort(exact, axis=1)[:, -k]
-            qi, di = np.nonzero(upper >= (least - np.float32(1e-5))[:, None])
+                least = np.partition(exact, -k, axis=1)[:, -k]
+            bar = (np.maximum(least, value[:, -1]) - 1e-5).astype(np.float32)[:, None]
+            open_ = upper >= bar
+            if np.count_nonzero(open_) > open_.size // 32:  # many rows to check: one dense product is cheaper than picking them out
+                open_ &= q @ block.T >= bar
+                qi, di = np.nonzero(open_)
+            else:
+                qi, di = np.nonzero(open_)
+                near = np.einsum("ij,ij->i", q[qi], block[di])
+                keep = near >= bar[qi, 0]
+                qi, di = qi[keep], di[keep]
+            keep = me[qi] != di + w
+            qi, di = qi[keep], di[keep] + w
             if not len(qi):
                 continue
-            keep = upper[qi, di] > -np.inf
-            qi, di = qi[keep], di[keep] + w
-            near = np.einsum("ij,ij->i", q[qi], x[di])
-            keep = near >= np.maximum(least, value[:, -1])[qi] - np.float32(1e-5)
-            qi, di = qi[keep], di[keep]
             exact = np.einsum("ij,ij->i", q64[qi], data[di])
             all_q = np.concatenate([np.repeat(np.arange(len(q)), k), qi])
             all_d, all_v = np.concatenate([at.ravel(), di]), np.concatenate([value.ravel(), exact])
