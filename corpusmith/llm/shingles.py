@@ -14,9 +14,12 @@ _K1, _K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 def mix(z: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
-    z = (z ^ (z >> np.uint64(30))) * _K1
-    z = (z ^ (z >> np.uint64(27))) * _K2
-    return z ^ (z >> np.uint64(31))
+    z = z ^ (z >> np.uint64(30))
+    z *= _K1
+    z ^= z >> np.uint64(27)
+    z *= _K2
+    z ^= z >> np.uint64(31)
+    return z
 
 
 class WordHashes(dict):
