@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmith.llm import clusters, knn, leakage, mojibake, neardup, packing, terms, topn
+from corpusmith.llm import clusters, knn, leakage, mojibake, neardup, packing, pii, terms, topn
 from corpusmith.llm.common import one_per_id
 
 NEAR, LINKED, CLUSTER_SIZE = 0.94, 0.66, 5
@@ -72,6 +72,16 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return told.join(carried, "cluster", "left").select(F.col("cluster").alias("cluster_doc_id"), "size", "typical", "topics")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_details(_table(spark, d, "sample_documents", "doc_id", "text"), "doc_id", "text", _table(spark, d, "name_lexicon", "name", "kind"))
+
+
+def p6_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's text with typed placeholders; of repeated rows one."""
+    docs = one_per_id(_table(spark, d, "sample_documents", "doc_id", "text"), "doc_id", "text")
+    return pii.sanitise(docs, "doc_id", "text", _table(spark, d, "name_lexicon", "name", "kind")).select("doc_id", "sanitised", F.size("details").alias("details"))
+
+
 def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_sequences(_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -89,7 +99,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore_documents(_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_terms, p3_found, p3_best, p4_found, p4_groups, p5_found, p5_clusters, p7_sequences, p8_found, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_terms, p3_found, p3_best, p4_found, p4_groups, p5_found, p5_clusters, p6_found, p6_sanitised, p7_sequences, p8_found, p9_found, p9_restored)}
 
 _TERMS = r"""
 with docs as (select doc_id, min(text) as text from sample_documents where doc_id is not null group by doc_id),
