@@ -25,17 +25,20 @@ IDENTITY = re.compile(
     r"(?<!\w)(?:tax\s+file|tfn|medicare|driver(?:['’]?s)?\s+licen[cs]e|driving\s+licen[cs]e|licen[cs]e|dl(?=\s*[#:.]|\s+n)|passport)(?:\s*(?:\b(?:card|number|num|no|nr|is)\b\.?|[#:.])){0,4}\s*([A-Z]{0,3}\d(?:[ -]?\d){4,11}[A-Z]?)(?!\w|[/.]\d|-\d)", re.I
 )
 _NAME_WORD = r"[^\W\d_][^\W\d_’'-]*(?:[’'-][^\W\d_]+)*"
-ADDRESS = re.compile(
-    rf"(?<![\w$/.,:-])(?:(?:{UNITS}|U)\.?\s*\d+[A-Z]?\s?(?:,\s?|/|\s))?(?:\d+[A-Z]?/)?\d+[A-Z]?(?:-\d+[A-Z]?)? (?!(?:{MONTHS})\b)({_NAME_WORD})(?: ({_NAME_WORD}))??(?: ({_NAME_WORD}))?? (?:{STREETS})(?![\w’'-])", re.I
-)
+#: number, name and type; what may stand before the number is looked at afterwards
+ADDRESS = re.compile(rf"[0-9](?<![\w$.,:-].)[0-9]*[A-Z]?(?:-\d+[A-Z]?)? (?!(?:{MONTHS})\b)({_NAME_WORD})(?: ({_NAME_WORD}))??(?: ({_NAME_WORD}))?? (?:{STREETS})(?![\w’'-])", re.I)
+_UNIT_BEFORE = re.compile(rf"(?<![\w$/.,:-])(?:(?:{UNITS}|U)\.?\s*\d+[A-Z]?\s?(?:,\s?|/|\s)(?:\d+[A-Z]?/)?|\d+[A-Z]?/)$", re.I)
 
 _T = r"[^\W\d_](?:[’'])?[^\W\d_]+(?:[-’'][^\W\d_]+)*"
-_CAP = r"(?=[^\W\d_a-zà-öø-ÿ])" + _T
+_UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽ"
+_CAP = rf"(?=[{_UPPER}])" + _T
+_REST = r"(?:[’'])?[^\W\d_]+(?:[-’'][^\W\d_]+)*"
 #: given [initial] [particle] family, initial family, or FAMILY, given
-PAIR = re.compile(rf"(?<![\w’'@.-])(?:(?P<family>{_CAP}), (?P<given>{_CAP})|(?P<first>{_CAP}|[^\W\d_a-z]\.)(?P<middle>(?: [^\W\d_a-z]\.)*)(?P<particle>(?: (?:{PARTICLES}))*) (?P<last>{_CAP}))(?![\w@]|[’'-]\w)")
+# it begins with one plain class of letters, which the engine finds fast
+PAIR = re.compile(rf"[{_UPPER}](?<![\w’'@.-].)(?:(?P<family>{_REST}), (?P<given>{_CAP})|(?P<first>{_REST}|\.)(?P<middle>(?: [^\W\d_a-z]\.)*)(?P<particle>(?: (?:{PARTICLES}))*) (?P<last>{_CAP}))(?![\w@]|[’'-]\w)")
 _ANY = re.compile(rf"(?:(?P<family>{_T}), (?P<given>{_T})|(?P<first>{_T}|[^\W\d_]\.)(?P<middle>(?: [^\W\d_]\.)*)(?P<particle>(?: (?:{PARTICLES}))*) (?P<last>{_T}))(?![\w@]|[’'-]\w)", re.I)
 _TITLE_WORDS = set(TITLES.lower().split("|"))
-_TITLE_AT = re.compile(rf"(?<![\w’'-])(?:{TITLES})\.? (?=[^\W\d_])")
+_TITLE_AT = re.compile(rf"(?:{TITLES})(?<![\w’'-](?:Mr|Ms|Mx|Dr))\.? (?=[a-zà-öø-ÿ])")
 _TITLE_END = re.compile(rf"(?:^|(?<![\w’'-]))(?:{TITLES})\.? $", re.I)
 _DIGITS, _MARKED = re.compile(r"\d+"), re.compile(r"[\d#.,:-]+")
 
@@ -76,7 +79,11 @@ class Span:
     def __init__(self, text: str, m: re.Match, fold: bool):
         self.text, self.fold = text, fold
         self.start, self.end = m.span()
-        self.given, self.last = (m.group("given") or m.group("first")).lower(), (m.group("family") or m.group("last")).lower()
+        if m.re is PAIR:  # the first letter stands before the groups
+            self.given = (m.group("given") or text[self.start : m.end("first")]).lower()
+            self.last = (text[self.start : m.end("family")] if m.group("given") else m.group("last")).lower()
+        else:
+            self.given, self.last = (m.group("given") or m.group("first")).lower(), (m.group("family") or m.group("last")).lower()
         before = _TITLE_END.search(text, max(0, self.start - 7), self.start)
         self.title = before is not None
         self._left = before.start() if before else self.start
@@ -97,9 +104,8 @@ def _pairs(text: str, fold: bool = False) -> Iterable[Span]:
     """Name-shaped spans of a text; a title before them isn't a part."""
     at = 0
     while m := PAIR.search(text, at):
-        first = m.group("first")
-        if first and first.rstrip(".").lower() in _TITLE_WORDS:
-            at = m.start() + len(first) + 1
+        if m.group("first") and text[m.start() : m.end("first")].rstrip(".").lower() in _TITLE_WORDS:
+            at = m.end("first") + 1
             continue
         yield Span(text, m, fold)
         after = m.end()
@@ -117,7 +123,7 @@ class Evidence:
         self.given, self.family, self.bits = given, family, bits
         strong = sorted(k.removeprefix("^ ") for (kind, k), v in bits.items() if kind == "L" and v >= 2.5 and k != "^")
         #: cues of names: what reveals one right behind it
-        self.cues = re.compile("(?<![\\w’'-])(?:" + "|".join(map(re.escape, strong)) + ") (?=[^\\W\\d_])") if strong else None
+        self.cues = re.compile("(?:" + "|".join(map(re.escape, strong)) + ") (?=[a-zà-öø-ÿ])") if strong else None
 
     def known(self, s: Span) -> tuple[bool, bool]:
         return s.given in self.given, s.last in self.family or any(p in self.family for p in re.split("[-’']", s.last) if len(p) > 2)
@@ -132,7 +138,7 @@ class Evidence:
         return bits + b.get(("L", s.left), -0.5) + b.get(("R", s.right), -0.5)
 
 
-_SMALL_START = re.compile(r"(?:^|[.!?]\s)(?=[a-zà-öø-ÿ][^\W\d_]+ )")
+_SMALL_START = re.compile(r"(?:\A|[.!?]\s)(?=[a-zà-öø-ÿ][^\W\d_]+ )")
 _STREET_NEXT = re.compile(rf" (?:{STREETS})(?![\w’'-])", re.I)
 _ID_CUES = ("tax", "tfn", "medicare", "licen", "dl", "passport")
 
@@ -160,10 +166,13 @@ def find_details(text: str, evidence: Evidence, least: float = 4.0) -> list[tupl
             if free(m.start(), m.end()) and not _OTHER_NUMBER.search(text, max(0, m.start() - 30), m.start()):
                 out.append((m.start(), m.end(), "phone", re.sub(r"\D", "", m.group())))
         for m in ADDRESS.finditer(text):
-            names = [w for w in m.groups() if w]
-            raised = all(w[0].isupper() for w in names) or _left(text, m.start(), True).split(" ")[-1] in ("at", "to", "is", "outside", "address", "of")
-            if raised and free(m.start(), m.end()):
-                out.append((m.start(), m.end(), "address", m.group()))
+            unit = _UNIT_BEFORE.search(text, max(0, m.start() - 30), m.start())
+            start = unit.start() if unit else m.start()
+            if not unit and text[start - 1 : start] == "/":
+                continue
+            raised = all(w[0].isupper() for w in m.groups() if w) or _left(text, start, True).split(" ")[-1] in ("at", "to", "is", "outside", "address", "of")
+            if raised and free(start, m.end()):
+                out.append((start, m.end(), "address", text[start : m.end()]))
     fold = text.isupper()
     scored = []
     for s in _pairs(text, True) if fold else [*_pairs(text), *_cued(text, evidence)]:
@@ -179,7 +188,7 @@ def find_details(text: str, evidence: Evidence, least: float = 4.0) -> list[tupl
 def _cued(text: str, evidence: Evidence) -> Iterable[Span]:
     """Spans in small letters, looked for only behind a title or a cue of names."""
     for m in _TITLE_AT.finditer(text):
-        if text[m.end() : m.end() + 1].islower() and (n := _ANY.match(text, m.end())):
+        if n := _ANY.match(text, m.end()):
             yield Span(text, n, False)
     for m in _SMALL_START.finditer(text):
         if n := _ANY.match(text, m.end()):
@@ -188,7 +197,7 @@ def _cued(text: str, evidence: Evidence) -> Iterable[Span]:
                 yield s
     if evidence.cues is not None:
         for m in evidence.cues.finditer(text):
-            if text[m.end()].islower() and (n := _ANY.match(text, m.end())):
+            if n := _ANY.match(text, m.end()):
                 s = Span(text, n, False)
                 if evidence.bits.get(("R", s.right), 0) >= 1 or all(evidence.known(s)):
                     yield s
