@@ -1 +1 @@
-"""functions of the engine."""
+"""Column builders: everything here is a Spark expression and stays in the JVM."""

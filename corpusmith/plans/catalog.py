@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from corpusmith.plans import model_queries, series_queries, text_queries  # noqa: F401
+from corpusmith.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
