@@ -177,7 +177,7 @@ def fit_kmeans_embeddings(docs: DataFrame, id_col: str, text: str, vectors: Data
 def fit_tfidf_kmeans(docs: DataFrame, id_col: str, text: str, k: int = 10, max_features: int = 1000, seed: int = 42) -> TopicModel:
     """K-means on TF-IDF rows; words by summed weights."""
     weights, vocab = Z.fit_tfidf(docs, id_col, text, max_features)
-    weights, vocab = materialise(weights), materialise(vocab)
+    weights = materialise(weights)
     size = vocab.count()
     if not size:
         return TopicModel("tfidf", docs.sparkSession.createDataFrame([], "id string, topic_id int, probability double"), docs.sparkSession.createDataFrame([], "topic int, term string, weight double, rank int"))
@@ -219,7 +219,7 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def _center_sums(rows: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    given = rows.sparkSession.sparkContext.broadcast(centers)
+    given = rows.sparkSession.sparkContext.broadcast(centers.astype(np.float32))
     k, v = centers.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +229,7 @@ def _center_sums(rows: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.n
                 x = _dense(whole.iloc[s : s + 1024], v)
                 d = _distances(x, given.value)
                 near = d.argmin(1)
-                one = np.zeros((k, len(x)))
+                one = np.zeros((k, len(x)), np.float32)
                 one[near, np.arange(len(x))] = 1
                 total += one @ x
                 count += one.sum(1)
@@ -246,7 +246,7 @@ def _center_sums(rows: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.n
 
 def assign_rows(rows: DataFrame, centers: np.ndarray) -> DataFrame:
     """(id, topic_id, probability) of sparse rows."""
-    given = rows.sparkSession.sparkContext.broadcast(centers)
+    given = rows.sparkSession.sparkContext.broadcast(centers.astype(np.float32))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,7 +256,7 @@ def assign_rows(rows: DataFrame, centers: np.ndarray) -> DataFrame:
                 d = np.sqrt(_distances(_dense(b, given.value.shape[1]), given.value))
                 p = 1 / (1 + d)
                 at = d.argmin(1)
-                yield pd.DataFrame({"id": b["id"], "topic_id": at.astype(np.int32), "probability": p[np.arange(len(p)), at] / p.sum(1)})
+                yield pd.DataFrame({"id": b["id"], "topic_id": at.astype(np.int32), "probability": (p[np.arange(len(p)), at] / p.sum(1)).astype(np.float64)})
 
     return rows.mapInPandas(run, f"id {kind}, topic_id int, probability double")
 
@@ -274,7 +274,6 @@ def fit_nmf(docs: DataFrame, id_col: str, text: str, k: int = 10, max_features:
     partial sums of the workers; the factor is updated on the driver, whose memory is k x V at most.
     """
     weights, vocab = Z.fit_tfidf(docs, id_col, text, max_features)
-    vocab = materialise(vocab)
     rows = _rows(weights).persist()
     v = vocab.count()
     h = np.abs(np.random.default_rng(seed).standard_normal((k, v))) * 0.1 + 0.01
@@ -294,21 +293,21 @@ def fit_nmf(docs: DataFrame, id_col: str, text: str, k: int = 10, max_features:
 
 def _nmf_solve(x: np.ndarray, h: np.ndarray, steps: int = 12) -> np.ndarray:
     xh, hh = x @ h.T, h @ h.T
-    w = np.full((len(x), len(h)), 0.1)
+    w = np.full((len(x), len(h)), 0.1, x.dtype)
     for _ in range(steps):
         w *= xh / np.maximum(w @ hh, 1e-12)
     return w
 
 
 def _dense(b: pd.DataFrame, v: int) -> np.ndarray:
-    x = np.zeros((len(b), v))
+    x = np.zeros((len(b), v), np.float32)
     if len(b):
         x[np.repeat(np.arange(len(b)), [len(at) for at in b["idx"]]), np.concatenate(b["idx"].to_list())] = np.concatenate(b["w"].to_list())
     return x
 
 
 def _nmf_sums(rows: DataFrame, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    given = rows.sparkSession.sparkContext.broadcast(h)
+    given = rows.sparkSession.sparkContext.broadcast(h.astype(np.float32))
     k, v = h.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -331,7 +330,7 @@ def _nmf_sums(rows: DataFrame, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
 
 
 def _project_rows(rows: DataFrame, h: np.ndarray, nmf: bool) -> DataFrame:
-    given = rows.sparkSession.sparkContext.broadcast(h)
+    given = rows.sparkSession.sparkContext.broadcast(h.astype(np.float32))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,7 +341,7 @@ def _project_rows(rows: DataFrame, h: np.ndarray, nmf: bool) -> DataFrame:
                 w = _nmf_solve(x, given.value) if nmf else x @ given.value.T
                 at = np.abs(w).argmax(1)
                 total = np.maximum(np.abs(w).sum(1), 1e-12)
-                yield pd.DataFrame({"id": b["id"], "topic_id": at.astype(np.int32), "probability": np.abs(w)[np.arange(len(w)), at] / total, "weights": list(w)})
+                yield pd.DataFrame({"id": b["id"], "topic_id": at.astype(np.int32), "probability": (np.abs(w)[np.arange(len(w)), at] / total).astype(np.float64), "weights": list(w.astype(np.float64))})
 
     return rows.mapInPandas(run, f"id {kind}, topic_id int, probability double, weights array<double>")
 
@@ -366,7 +365,6 @@ def fit_lsa(docs: DataFrame, id_col: str, text: str, k: int = 10, max_features:
     Each pass multiplies X'X with a narrow V x (k + spare) block, summed up by the workers; no V x V matrix is made.
     """
     weights, vocab = Z.fit_tfidf(docs, id_col, text, max_features)
-    vocab = materialise(vocab)
     rows, size = _rows(weights).persist(), vocab.count()
     width = min(k + spare, size)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
@@ -386,7 +384,7 @@ def fit_lsa(docs: DataFrame, id_col: str, text: str, k: int = 10, max_features:
 
 def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     """X'X q from partial sums, a few columns a reducer."""
-    given = rows.sparkSession.sparkContext.broadcast(q)
+    given = rows.sparkSession.sparkContext.broadcast(q.astype(np.float32))
     v, width = q.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -666,7 +664,7 @@ def merge_smallest(centers: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray
 def discover(docs: DataFrame, id_col: str, text: str, method: str = "tfidf", num_topics: int = 10, seed: int = 42, **options) -> TopicModel:
     """One door to all models."""
     if method in ("simple_kmeans", "embedding_cluster"):
-        return fit_kmeans_embeddings(docs, id_col, text, Z.embed(docs, id_col, text, options.pop("encoder", None)), "embedding", num_topics, seed=seed, **options)
+        return fit_kmeans_embeddings(docs, id_col, text, materialise(Z.embed(docs, id_col, text, options.pop("encoder", None))), "embedding", num_topics, seed=seed, **options)
     if method == "tfidf":
         return fit_tfidf_kmeans(docs, id_col, text, num_topics, seed=seed, **options)
     if method == "nmf":

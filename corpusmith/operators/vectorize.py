@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text as T
+from corpusmith.session import materialise
 
 
 def term_frequencies(df: DataFrame, id_col: str, text: str, pattern: str = T.WORD) -> DataFrame:
@@ -49,7 +50,7 @@ def tfidf(tf: DataFrame, vocab: DataFrame) -> DataFrame:
 def fit_tfidf(df: DataFrame, id_col: str, text: str, max_features: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(weights, vocabulary with idf) of a corpus."""
     tf = term_frequencies(df, id_col, text)
-    vocab = with_idf(vocabulary(tf, max_features), df.where(F.col(id_col).isNotNull()).count())
+    vocab = materialise(with_idf(vocabulary(tf, max_features), df.where(F.col(id_col).isNotNull()).count()))
     return tfidf(tf, vocab), vocab
 
 
@@ -88,22 +89,30 @@ def hashed_encoder(dim: int = 64, seed: int = 13) -> Encoder:
     """An encoder that needs no model: words hashed to signed random directions, log-weighted, of length one."""
     import re
     import zlib
+    from collections import Counter
 
-    pattern = re.compile(r"\w{2,}")
+    pattern, known, table = re.compile(r"\w{2,}"), {}, []
+
+    def number(word: str) -> int:
+        at = known.get(word)
+        if at is None:
+            if len(known) > 500_000:
+                known.clear()
+                table.clear()
+            at = known[word] = len(table)
+            table.append(np.random.default_rng([seed, zlib.crc32(word.encode())]).standard_normal(dim, np.float32))
+        return at
 
     def encode(texts: pd.Series) -> np.ndarray:
-        out, cache = np.zeros((len(texts), dim), np.float32), {}
+        out = np.zeros((len(texts), dim), np.float32)
         for i, text in enumerate(texts):
-            counts: dict[str, int] = {}
-            for w in pattern.findall((text or "").lower()):
-                counts[w] = counts.get(w, 0) + 1
-            for w, n in counts.items():
-                if w not in cache:
-                    cache[w] = np.random.default_rng([seed, zlib.crc32(w.encode())]).standard_normal(dim).astype(np.float32)
-                out[i] += np.float32(np.log1p(n)) * cache[w]
-            length = np.linalg.norm(out[i])
-            if length:
-                out[i] /= length
+            counts = Counter(pattern.findall((text or "").lower()))
+            if counts:
+                rows = np.stack([table[number(w)] for w in counts])
+                out[i] = np.log1p(np.fromiter(counts.values(), np.float32, len(counts))) @ rows
+                length = np.linalg.norm(out[i])
+                if length:
+                    out[i] /= length
         return out
 
     return encode
