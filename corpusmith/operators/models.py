@@ -463,7 +463,7 @@ def condense(edges: list[tuple[float, int, int]], n: int, min_size: int, method:
     """(labels, membership) from the spanning edges (distance, a, b) of ``n`` points: -1 is noise.
 
     The merge tree is cut into clusters of at least ``min_size`` points; by excess of mass, a cluster is kept if it is more
-    stable than its kept parts together, or the leaves of the condensed tree are taken.
+    stable than its kept parts together, or the leaves of the condensed tree are taken. The whole is never a cluster.
     """
     parent, node, left, height, size = list(range(n)), list(range(n)), {}, {}, [1] * n
     find = lambda i: i if parent[i] == i else find_up(i)
@@ -484,7 +484,7 @@ def condense(edges: list[tuple[float, int, int]], n: int, min_size: int, method:
         node[ra] = count
         size.append(size[left[count][0]] + size[left[count][1]])
         count += 1
-    if count == n:
+    if count < 2 * n - 1 or n < min_size:
         return np.full(n, -1), np.zeros(n)
 
     def points(t: int) -> list[int]:
@@ -537,8 +537,6 @@ def condense(edges: list[tuple[float, int, int]], n: int, min_size: int, method:
                 chosen.add(i)
             else:
                 value[i] = kids
-    if not chosen and clusters[0]["points"] and len(clusters) == 1:
-        chosen = {0}
     labels, membership = np.full(n, -1), np.zeros(n)
     for label, i in enumerate(sorted(chosen)):
         own, below = dict(clusters[i]["points"]), list(clusters[i]["children"])

@@ -429,7 +429,7 @@ def opt_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query("opt_repr")
 def opt_repr(spark: SparkSession, d: str) -> DataFrame:
-    return _model(spark, d, "bertopic", diversity=0.3).words
+    return _model(spark, d, "bertopic", diversity=0.3, min_cluster_size=5, min_samples=2).words
 
 
 # sources and sinks: written to the shared folder and read back
