@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
@@ -29,12 +33,26 @@ def class_means(df: DataFrame, label: str, vec: str) -> DataFrame:
 
 
 def similarities(df: DataFrame, id_col: str, vec: str, topics: list[tuple[str, list[float]]], digits: int = 9) -> DataFrame:
-    """(id, topic, score) of every document and topic, without a shuffle: the topics are literals, norms are worked out once."""
-    unit = [(name, [x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v]) for name, v in topics]
-    length = V.norm(F.col(vec))
-    scored = df.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), length.alias("n"))
-    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("topic"), F.round(F.when(F.col("n") > 0, V.dot_literal(F.col("v"), v) / F.col("n")).otherwise(0.0), digits).alias("score")) for name, v in unit]))
-    return scored.select("id", cells.alias("c")).select("id", "c.topic", "c.score")
+    """(id, topic, score) of every document and topic, without a shuffle: one matrix product a batch with the topics' vectors.
+
+    A vector without length scores 0; null vectors are left out.
+    """
+    matrix = np.array([v for _, v in topics], np.float64).reshape(len(topics), -1)
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    given = df.sparkSession.sparkContext.broadcast((np.array([n for n, _ in topics], object), matrix))
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, m = given.value
+        for whole in batches:
+            for s in range(0, len(whole), 2048):
+                b = whole.iloc[s : s + 2048]
+                x = np.stack(b["v"].to_numpy())
+                score = x @ m.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), len(names)), "topic": np.tile(names, len(b)), "score": score.ravel()})
+
+    some = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    return some.mapInPandas(run, f"id {kind}, topic string, score double").withColumn("score", F.round("score", digits))
 
 
 def similarities_joined(df: DataFrame, id_col: str, vec: str, topics: DataFrame, name: str, topic_vec: str, digits: int = 9) -> DataFrame:

@@ -22,7 +22,7 @@ def term_frequencies(df: DataFrame, id_col: str, text: str, pattern: str = T.WOR
     return tokens.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(tf: DataFrame, max_features: int | None = 1000, min_df: int = 1, max_df_share: float = 1.0, n_docs: int | None = None) -> DataFrame:
+def vocabulary(tf: DataFrame, max_features: int = 1000, min_df: int = 1, max_df_share: float = 1.0, n_docs: int | None = None) -> DataFrame:
     """(term, idx, ctf, df): the most frequent terms of the corpus, ties by term, numbered in alphabetical order.
 
     At most ``max_features`` rows, so it may be broadcast.
@@ -30,8 +30,7 @@ def vocabulary(tf: DataFrame, max_features: int | None = 1000, min_df: int = 1,
     per = tf.groupBy("term").agg(F.sum("tf").alias("ctf"), F.count("*").alias("df")).where(F.col("df") >= min_df)
     if max_df_share < 1.0:
         per = per.where(F.col("df") <= max_df_share * F.lit(n_docs if n_docs is not None else tf.select("id").distinct().count()))
-    if max_features is not None:
-        per = per.orderBy(F.desc("ctf"), "term").limit(max_features)
+    per = per.orderBy(F.desc("ctf"), "term").limit(max_features)
     return per.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1).select("term", "idx", "ctf", "df")
 
 

@@ -52,7 +52,7 @@ def vec_transform(spark: SparkSession, d: str) -> DataFrame:
 
 @query("vec_bow_extremes", f"with {_TF}, k as (select term, sum(tf) as ctf, count(*) as df from tf group by 1 having count(*) >= 2), m as (select count(distinct doc_id) as m from tf) select term, cast(ctf as bigint) as ctf, df from k, m where df <= 0.9 * m")
 def vec_bow_extremes(spark: SparkSession, d: str) -> DataFrame:
-    return Z.vocabulary(Z.term_frequencies(_docs(spark, d), "doc_id", "text"), None, 2, 0.9).select("term", "ctf", "df")
+    return Z.vocabulary(Z.term_frequencies(_docs(spark, d), "doc_id", "text"), 100_000, 2, 0.9).select("term", "ctf", "df")
 
 
 _CTFIDF = r"""tokens as (select category as topic, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) as term from documents where category is not null), c as (select topic, term, count(*) as tf from tokens group by 1, 2),
