@@ -96,7 +96,7 @@ def search(data: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, cente
 
 
 def most_similar(
-    df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 96, probes: int = 2, cell_rows: int = 3000, fit_rows: int = 16384, max_cells: int = 1024, block: int = 32768, epsilon: float = 1.9, seed: int = 7
+    df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 96, probes: int = 2, cell_rows: int = 3000, fit_rows: int = 65536, max_cells: int = 4096, block: int = 32768, epsilon: float = 1.9, seed: int = 7
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): the ``k`` most similar other documents of every document with a usable vector.
 
@@ -104,7 +104,7 @@ def most_similar(
     once; of an id with several vectors one counts. Equal similarity: smaller id first. Cosines are of the stored values in
     double precision. Extra columns are ignored; an empty table or a single document gives no rows.
 
-    Cells are centroids of a sample of at most about ``fit_rows`` vectors (every row is indexed and searched), one for
+    Cells are centroids of a sample of 256 vectors a cell, at most about ``fit_rows`` (every row is indexed and searched), one for
     ``cell_rows`` documents. A vector is stored in its nearest cell and looks for neighbours in its ``probes`` nearest ones,
     where one-bit codes of the rotated residuals decide which rows are compared exactly. A cell with more than ``block``
     rows is cut into blocks that are searched pairwise by separate tasks. Documents with the very same vector stand
@@ -116,8 +116,9 @@ def most_similar(
     result = f"{id_col} {kind}, neighbour {kind}, cosine double, rank int"
     if table.n < 2:
         return spark.createDataFrame([], result)
-    sample = sample_vectors(table.rows, table.n, fit_rows, dim)
-    cells = int(np.clip(round(table.n / cell_rows), 1, min(max_cells, max(1, len(sample) // 16))))
+    cells = int(np.clip(round(table.n / cell_rows), 1, max_cells))
+    sample = sample_vectors(table.rows, table.n, min(fit_rows, max(8192, 256 * cells)), dim)
+    cells = min(cells, max(1, len(sample) // 16))
     centers = lloyd(sample, seed_plus_plus(sample, cells, seed), 6)
     sizes = home_counts(table.rows, centers, dim)
     parts = {c: -(-m // block) for c, m in sizes.items() if m > block}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusmith.llm.shingles import WordHashes, hashed_words, windows
 
 
-def leaked_items(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, words: int = 10, shingle: int = 5, items_per_block: int = 20_000) -> DataFrame:
+def leaked_items(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, words: int = 10, shingle: int = 5, items_per_block: int = 20_000, chars_per_block: int = 20_000_000) -> DataFrame:
     """(id, item, windows): the items of which a document holds at least ``words`` consecutive words, and how many such windows.
 
     Words are the longest runs of a-z and 0-9 in the lower-cased text. Null and shorter texts on either side and null ids
@@ -24,13 +24,14 @@ def leaked_items(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame
     shingle never occurs is dropped). A document's shingles are looked up among these prefix tokens; a hit fixes the
     window's place, which must lie inside the document (position and length bounds), and the words are then compared one by one.
 
-    Items are the stated query set: at most ``items_per_block`` of them are sent to the workers at a time; a larger set is
+    Items are the stated query set: about ``items_per_block`` of them or ``chars_per_block`` characters are sent to the workers at a time; a larger set is
     worked off in as many passes over the corpus.
     """
     spark = corpus.sparkSession
     kind, item_kind = corpus.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     asked = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).distinct()
-    blocks = max(1, -(-asked.count() // items_per_block))
+    n, chars = asked.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    blocks = max(1, -(-n // items_per_block), -(-chars // chars_per_block))
     docs = corpus.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     result = None
     for k in range(blocks):
