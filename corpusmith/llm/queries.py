@@ -72,6 +72,12 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return told.join(carried, "cluster", "left").select(F.col("cluster").alias("cluster_doc_id"), "size", "typical", "topics")
 
 
+def p5_text_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The notes themselves: hashed weighted features, k-means, sizes and typical notes."""
+    docs = one_per_id(_table(spark, d, "sample_documents", "doc_id", "text"), "doc_id", "text")
+    return clusters.kmeans_clusters(clusters.text_vectors(docs, "doc_id", "text"), "doc_id", "embedding", 50)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.personal_details(_table(spark, d, "sample_documents", "doc_id", "text"), "doc_id", "text", _table(spark, d, "name_lexicon", "name", "kind"))
 
@@ -99,7 +105,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore_documents(_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_terms, p3_found, p3_best, p4_found, p4_groups, p5_found, p5_clusters, p6_found, p6_sanitised, p7_sequences, p8_found, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_terms, p3_found, p3_best, p4_found, p4_groups, p5_found, p5_clusters, p5_text_clusters, p6_found, p6_sanitised, p7_sequences, p8_found, p9_found, p9_restored)}
 
 _TERMS = r"""
 with docs as (select doc_id, min(text) as text from sample_documents where doc_id is not null group by doc_id),

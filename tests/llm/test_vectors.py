@@ -116,3 +116,11 @@ def test_connected_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
     assert {got[f"n{i}"] for i in range(11)} == {"n0"} and {got[f"n{i}"] for i in range(11, 31)} == {"n11"}
     assert {got[f"h{i}"] for i in range(9)} == {"h0"} == {got["hub"]} and "x" not in got
+
+
+def test_kmeans_clusters(spark, cloud):
+    got = clusters.kmeans_clusters(table(spark, [row(n, v) for n, v in cloud.items()] * 2), "doc_id", "embedding", 6, DIM).collect()
+    assert sum(r.size for r in got) == len(cloud) and len(got) == 6 and all(1 <= len(r.typical) <= 3 for r in got)
+    assert clusters.kmeans_clusters(table(spark, []), "doc_id", "embedding", 3, DIM).count() == 0
+    few = clusters.kmeans_clusters(table(spark, [row("a", np.eye(DIM)[0]), row("b", np.eye(DIM)[0])]), "doc_id", "embedding", 3, DIM).collect()
+    assert [(r.cluster, r.size, r.typical) for r in few] == [("a", 2, ["a", "b"])]
