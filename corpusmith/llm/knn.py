@@ -96,7 +96,7 @@ def search(data: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, cente
 
 
 def most_similar(
-    df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 96, probes: int = 2, cell_rows: int = 3000, fit_rows: int = 65536, max_cells: int = 4096, block: int = 32768, epsilon: float = 1.9, seed: int = 7
+    df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 96, probes: int = 3, cell_rows: int = 3000, fit_rows: int = 65536, max_cells: int = 4096, block: int = 32768, epsilon: float = 1.9, seed: int = 7
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): the ``k`` most similar other documents of every document with a usable vector.
 
