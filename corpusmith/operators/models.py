@@ -174,10 +174,18 @@ def fit_kmeans_embeddings(docs: DataFrame, id_col: str, text: str, vectors: Data
     return TopicModel("simple_kmeans", assigned, topic_terms(assigned, counts), centers)
 
 
+def _weights(docs: DataFrame, id_col: str, text: str, max_features: int) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF of a corpus, worked out once: the counts are kept for vocabulary and weights, then let go."""
+    tf = Z.term_frequencies(docs, id_col, text).persist()
+    vocab = materialise(Z.with_idf(Z.vocabulary(tf, max_features), docs.where(F.col(id_col).isNotNull()).count()))
+    weights = materialise(Z.tfidf(tf, vocab))
+    tf.unpersist()
+    return weights, vocab
+
+
 def fit_tfidf_kmeans(docs: DataFrame, id_col: str, text: str, k: int = 10, max_features: int = 1000, seed: int = 42) -> TopicModel:
     """K-means on TF-IDF rows; words by summed weights."""
-    weights, vocab = Z.fit_tfidf(docs, id_col, text, max_features)
-    weights = materialise(weights)
+    weights, vocab = _weights(docs, id_col, text, max_features)
     size = vocab.count()
     if not size:
         return TopicModel("tfidf", docs.sparkSession.createDataFrame([], "id string, topic_id int, probability double"), docs.sparkSession.createDataFrame([], "topic int, term string, weight double, rank int"))
@@ -273,7 +281,7 @@ def fit_nmf(docs: DataFrame, id_col: str, text: str, k: int = 10, max_features:
     Each pass solves every row for the given factor by multiplicative steps and adds up W'X (k x V) and W'W (k x k) from
     partial sums of the workers; the factor is updated on the driver, whose memory is k x V at most.
     """
-    weights, vocab = Z.fit_tfidf(docs, id_col, text, max_features)
+    weights, vocab = _weights(docs, id_col, text, max_features)
     rows = _rows(weights).persist()
     v = vocab.count()
     h = np.abs(np.random.default_rng(seed).standard_normal((k, v))) * 0.1 + 0.01
@@ -364,7 +372,7 @@ def fit_lsa(docs: DataFrame, id_col: str, text: str, k: int = 10, max_features:
 
     Each pass multiplies X'X with a narrow V x (k + spare) block, summed up by the workers; no V x V matrix is made.
     """
-    weights, vocab = Z.fit_tfidf(docs, id_col, text, max_features)
+    weights, vocab = _weights(docs, id_col, text, max_features)
     rows, size = _rows(weights).persist(), vocab.count()
     width = min(k + spare, size)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]

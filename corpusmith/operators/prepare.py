@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text as T
+from corpusmith.session import spread
 
 
 def acronym_counts(df: DataFrame, text: str, min_length: int = 2) -> DataFrame:
@@ -57,7 +58,11 @@ def correct_word(word: Column, corrections: dict[str, str], min_length: int = 4,
     right = sorted({v.lower() for v in corrections.values() if " " not in v})
     if not right:
         return F.coalesce(hit, word)
-    nearest = F.array_max(F.transform(F.array(*[F.lit(w) for w in right]), lambda c: F.struct(F.when((F.levenshtein(low, c) <= max_distance) & (T.similarity(low, c) >= min_score), T.similarity(low, c)).otherwise(-1.0).alias("s"), c.alias("w"))))
+    # distances only where the lengths allow them, and once a candidate
+    near = lambda c: F.when(F.abs(F.length(low) - F.length(c)) <= max_distance, F.levenshtein(low, c, max_distance)).otherwise(-1)
+    measured = F.transform(F.array(*[F.lit(w) for w in right]), lambda c: F.struct(near(c).alias("d"), c.alias("w")))
+    score = lambda x: F.round(100.0 * (1 - x["d"] / F.greatest(F.length(low), F.length(x["w"]), F.lit(1))), 4)
+    nearest = F.array_max(F.transform(measured, lambda x: F.struct(F.when(x["d"] >= 0, score(x)).otherwise(-1.0).alias("s"), x["w"].alias("w"))))
     fuzzy = F.when((F.length(word) >= min_length) & ~low.isin(right) & (nearest["s"] >= min_score), nearest["w"])
     return F.coalesce(hit, fuzzy, word)
 
@@ -68,6 +73,21 @@ def correct_text(text: Column, corrections: dict[str, str], **limits: float) ->
     return F.array_join(F.transform(parts, lambda w: F.when(w.rlike(r"^[\p{L}\p{N}_]"), correct_word(w, corrections, **limits)).otherwise(w)), "")
 
 
+def correct_texts(df: DataFrame, text: str, corrections: dict[str, str], at_most: int = 500, **limits: float) -> DataFrame:
+    """``df`` with the text corrected: each distinct word is looked at once, and the texts then only look up the words that change.
+
+    The lookup is a literal of at most ``at_most`` words; beyond it every word is worked out in place, with the same result.
+    """
+    df, pattern = spread(df), F.lit(r"[\p{L}\p{N}_]+")
+    words = df.select(F.explode(F.regexp_extract_all(F.lower(T.text_or_empty(F.col(text))), pattern, F.lit(0))).alias("word"))
+    changed = corrections_of(words, "word", corrections, **limits).where("correction <> word").limit(at_most + 1).collect()
+    if len(changed) > at_most:
+        return df.withColumn(text, correct_text(F.col(text), corrections, **limits))
+    known = T.literal_map({r.word: r.correction for r in changed})
+    parts = F.regexp_extract_all(T.text_or_empty(F.col(text)), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
+    return df.withColumn(text, F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(known, F.lower(w)), w)), ""))
+
+
 def detect_misspellings(df: DataFrame, text: str, corrections: dict[str, str], min_count: int = 2, min_length: int = 4, limit: int | None = None) -> DataFrame:
     """(word, count, correction, ratio): frequent words that the corrections would change."""
     words = df.select(F.explode(F.regexp_extract_all(F.lower(T.text_or_empty(F.col(text))), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text as T
-from corpusmith.session import materialise
+from corpusmith.session import materialise, spread
 
 
 def term_frequencies(df: DataFrame, id_col: str, text: str, pattern: str = T.WORD) -> DataFrame:
     """(id, term, tf)."""
-    tokens = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(T.words(F.col(text), pattern)).alias("term"))
+    some = spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t")))
+    tokens = some.select("id", F.explode(T.words(F.col("t"), pattern)).alias("term"))
     return tokens.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -126,7 +127,7 @@ def embed(df: DataFrame, id_col: str, text: str, encoder: Encoder | None = None)
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "embedding": list(np.asarray(encode(b["t"].fillna("")), np.float32))})
 
-    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
+    return spread(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))).mapInPandas(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
 
 
 def embed_cached(df: DataFrame, id_col: str, text: str, path: str, encoder: Encoder | None = None, version: str = "hashed-64") -> DataFrame:

@@ -139,7 +139,7 @@ def spell_detect(spark: SparkSession, d: str) -> DataFrame:
 m as (select map_from_entries(list({'k': part, 'v': correction})) as m from raw join fixed on lower(part) = fixed.word where correction <> fixed.word)
 select doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), lambda w: coalesce(m[w], w)), '') as text from documents, m""")
 def spell_text(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", prepare.correct_text(F.col("text"), _corrections(spark, d)).alias("text"))
+    return prepare.correct_texts(_docs(spark, d).select("doc_id", "text"), "text", _corrections(spark, d))
 
 
 @query("ctx_top3", r"""with known as (""" + _CLEAN.format("acronym") + r"""), toks as (select distinct doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_&]+')) as word from documents),

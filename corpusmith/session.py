@@ -43,6 +43,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer partitions than cores dealt out evenly, for work that costs more than moving them; else ``df`` as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if not df.isStreaming and df.rdd.getNumPartitions() < n else df
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/corpusmith-{name}-{uuid.uuid4().hex}"

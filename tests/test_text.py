@@ -38,6 +38,14 @@ def test_spelling(spark):
     assert one(spark, None, prepare.correct_text(F.col("t"), fix)) == ""
 
 
+def test_texts_and_words_agree(spark):
+    fix = {"vehical": "vehicle", "recieved": "received"}
+    df = spark.createDataFrame([("Vehical recieved, VEHICL ok.",), (None,), ("cat",)], "t string")
+    want = [r.x for r in df.select(prepare.correct_text(F.col("t"), fix).alias("x")).collect()]
+    for limit in (500, 1):
+        assert [r.t for r in prepare.correct_texts(df, "t", fix, limit).collect()] == want
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert prepare.acronym_counts(empty, "text").count() == 0
