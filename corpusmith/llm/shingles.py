@@ -65,3 +65,16 @@ def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
     return doc[new], h[new]
+
+
+def once(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text, texts in the order given (``doc`` ascends), hashes of a text in any order."""
+    both = mix(h + doc.astype(np.uint64) * _K2)
+    order = np.argsort(both)
+    near = order[:-1], order[1:]
+    again = (both[near[0]] == both[near[1]]) & (doc[near[0]] == doc[near[1]]) & (h[near[0]] == h[near[1]])
+    if not again.any():
+        return doc, h
+    new = np.ones(len(h), bool)
+    new[near[1][again]] = False
+    return doc[new], h[new]

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -99,6 +100,30 @@ def test_near_duplicates(spark):
     assert groups["c0"] == groups["c1"] == groups["a0"] == "a0" and "short" not in groups
 
 
+def test_near_duplicates_that_repeat_a_passage(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(40):
+        passage, base = [rng.choice(WORDS) for _ in range(30)], [rng.choice(WORDS) for _ in range(50)]
+        rows.append((f"a{i}", " ".join(passage * 20 + base)))
+        rows.append((f"b{i}", " ".join(passage * rng.randint(15, 25) + edited(rng, base, 2))))
+    rows += [("once", rows[0][1]), ("more", " ".join(rows[0][1].split()[:30]) + " " + rows[0][1])]
+    found = neardup.near_duplicates(docs(spark, rows), "doc_id", "text", 0.5, 3, 12)
+    sets = {i: shingles(t, 3) for i, t in rows}
+    want = {tuple(sorted(p)) for p in combinations(sets, 2) if len(sets[p[0]] & sets[p[1]]) * 2 >= len(sets[p[0]] | sets[p[1]])}
+    assert {(r.a, r.b) for r in neardup.duplicate_pairs(found).collect()} == want and len(want) >= 40
+    classes = {r.id: r["class"] for r in found.members.collect()}
+    assert classes["a0"] == classes["once"] == classes["more"] == "a0"  # equal sets, other numbers of repeats
+
+
+def test_darts_fill_every_coordinate():
+    rng = np.random.default_rng(3)
+    doc, item = np.repeat(np.arange(64), 5), rng.integers(0, 1 << 62, 320).astype(np.uint64)
+    full = neardup.throw(doc, item, np.ones(320), 65, 208)
+    assert full[:64].all() and not full[64].any()
+    assert (neardup.throw(doc, item, np.ones(320), 65, 208, fill=3.0) == full).all()
+
+
 def test_near_duplicates_of_nothing(spark):
     found = neardup.near_duplicates(docs(spark, []), "doc_id", "text")
     assert neardup.duplicate_pairs(found).count() == 0 == neardup.duplicate_groups(found).count()
