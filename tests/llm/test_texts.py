@@ -116,12 +116,26 @@ def test_near_duplicates_that_repeat_a_passage(spark):
     assert classes["a0"] == classes["once"] == classes["more"] == "a0"  # equal sets, other numbers of repeats
 
 
+@pytest.mark.parametrize(("own", "kept", "template"), [(36, 17, 30), (27, 8, 40)])
+def test_near_duplicates_among_boilerplate(spark, own, kept, template):
+    """Pairs at similarity 0.54, of whose shingles 44 or 58 % stand in every text."""
+    rng = random.Random(24)
+    some = lambda n: [f"{rng.choice(WORDS)}x{rng.randrange(1000)}" for _ in range(n)]
+    common, rows = some(template), []
+    for i in range(120):
+        base = some(own)
+        rows += [(f"a{i}", " ".join(common + base)), (f"b{i}", " ".join(common + base[:kept] + some(own - kept)))]
+    found = neardup.near_duplicates(docs(spark, rows), "doc_id", "text", 0.5, 3, 12)
+    got = {(r.a, r.b) for r in neardup.duplicate_pairs(found).collect()}
+    assert got <= {(f"a{i}", f"b{i}") for i in range(120)} and len(got) >= 114
+
+
 def test_darts_fill_every_coordinate():
     rng = np.random.default_rng(3)
     doc, item = np.repeat(np.arange(64), 5), rng.integers(0, 1 << 62, 320).astype(np.uint64)
-    full = neardup.throw(doc, item, np.ones(320), 65, 208)
+    full = neardup.throw(doc, item, np.zeros(320, bool), 65, 208)
     assert full[:64].all() and not full[64].any()
-    assert (neardup.throw(doc, item, np.ones(320), 65, 208, fill=3.0) == full).all()
+    assert (neardup.throw(doc, item, np.zeros(320, bool), 65, 208, fill=3.0) == full).all()
 
 
 def test_near_duplicates_of_nothing(spark):
