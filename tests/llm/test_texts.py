@@ -229,6 +229,23 @@ def test_mojibake(spark):
     assert mojibake.damaged_documents(docs(spark, []), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("wrong", ["cp1252", "cp1251", "cp437", "mac_roman"])
+def test_mojibake_of_the_main_user_of_a_language(spark, wrong):
+    polish, russian, quoted = "Właściciel zgłosił kradzież bagażu, ósma półka", "Владелец сообщил про пожар дома", "The insured’s “old” car – £20"
+    misread = lambda t: "".join(bytes([b]).decode(wrong) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D, 0x98) else bytes([b]).decode(wrong, "ignore") or chr(b) for b in t.encode())
+    rows = [(f"bad{k}{i}", misread(t)) for k, t in enumerate([polish, russian, quoted]) for i in range(20)]
+    rows += [("ok0", polish), ("ok1", russian), ("ok2", quoted), ("ok3", "CAFÉ™ “É” №5 l’été… «Ёлка» 5 m² │ ─┐ Nestlé®")]
+    put = {r.doc_id: r.restored for r in mojibake.restore_documents(docs(spark, rows), "doc_id", "text").collect()}
+    assert set(put) == {i for i, _ in rows if i.startswith("bad")}
+    for k, t in enumerate([polish, russian, quoted]):
+        assert put[f"bad{k}0"] == t
+
+
+def test_mojibake_of_unseen_characters(spark):
+    rows = [(x, f"{c}first w{c}ord".encode().decode("cp1252")) for x, c in [("bom", "\ufeff"), ("narrow", "\u202f"), ("zero", "\u200b")]] + [("soft", "pre\xadfix".encode().decode("latin-1")), ("no", "first word")]
+    assert {r.doc_id for r in mojibake.damaged_documents(docs(spark, rows), "doc_id", "text").collect()} == {"bom", "narrow", "zero", "soft"}
+
+
 # personal details
 def test_personal_details(spark):
     lexicon = spark.createDataFrame([("Rhea", "given"), ("Emre", "given"), ("Navlow", "family"), ("Tamrigg", "family"), (None, "given")], "name string, kind string")
