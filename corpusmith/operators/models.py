@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.ml.clustering import LDA, KMeans, KMeansModel
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text as T
@@ -561,23 +561,17 @@ def condense(edges: list[tuple[float, int, int]], n: int, min_size: int, method:
 def fit_density(vectors: DataFrame, id_col: str, vec: str, min_cluster_size: int = 15, min_samples: int = 5, method: str = "eom", limit: int = DENSITY_LIMIT) -> DataFrame:
     """(id, topic_id, probability): hierarchical density clusters; -1 is noise.
 
-    Exact mutual-reachability distances; the spanning tree is grown from one matrix of at most ``limit`` points, the
-    stated size up to which this is exact. Beyond it the points are k-means representatives weighted by nothing: each
-    representative stands for its cell, and cells take their representative's label.
+    Exact mutual-reachability distances at every size: the spanning tree of up to ``limit`` points is grown from one row of
+    distances at a time, that of more by the workers, in rounds over leaves of nearby points. The driver holds the points'
+    vectors, the tree and the labels.
     """
-    n = vectors.count()
-    if n > limit:
-        fine, centers = kmeans_assign(vectors, id_col, vec, min(limit // 4, 2000))
-        spark = vectors.sparkSession
-        reps = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "id int, v array<double>")
-        coarse = fit_density(reps, "id", "v", max(2, min_cluster_size * len(centers) // n), min_samples, method, limit)
-        return fine.withColumnRenamed(id_col, "id").select("id", F.col("topic_id").alias("cell")).join(F.broadcast(coarse.select(F.col("id").alias("cell"), "topic_id", "probability")), "cell").drop("cell")
     rows = sorted(_features(vectors, id_col, vec).select("id", "v").collect(), key=lambda r: r.id)
     kind = vectors.schema[id_col].dataType.simpleString()
     if not rows:
         return vectors.sparkSession.createDataFrame([], f"id {kind}, topic_id int, probability double")
     x = np.array([r.v for r in rows], np.float64)
-    labels, membership = condense(mutual_tree(x, min_samples), len(x), min_cluster_size, method)
+    edges = mutual_tree(x, min_samples) if len(x) <= limit else mutual_tree_by_leaves(vectors.sparkSession, x, min_samples)
+    labels, membership = condense(edges, len(x), min_cluster_size, method)
     return vectors.sparkSession.createDataFrame([(r.id, int(a), float(p)) for r, a, p in zip(rows, labels, membership, strict=True)], f"id {kind}, topic_id int, probability double")
 
 
@@ -600,6 +594,117 @@ def mutual_tree(x: np.ndarray, min_samples: int) -> list[tuple[float, int, int]]
     return edges
 
 
+def _leaves(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """Numbers of points in leaves of at most ``most``, halved along their widest side."""
+    out, stack = [], [np.arange(len(x))]
+    while stack:
+        own = stack.pop()
+        if len(own) <= most:
+            out.append(own)
+            continue
+        side = int(np.ptp(x[own], axis=0).argmax())
+        own = own[np.argsort(x[own, side], kind="stable")]
+        stack += [own[: len(own) // 2], own[len(own) // 2 :]]
+    return out
+
+
+def mutual_tree_by_leaves(spark: SparkSession, x: np.ndarray, min_samples: int, most: int = 128) -> list[tuple[float, int, int]]:
+    """The same edges by Boruvka rounds: every leaf finds the nearest point of another component for each of its components.
+
+    A leaf looks at other leaves by rising distance of their boxes, as far as that can still matter. Equal distances are
+    ordered by the points' numbers.
+    """
+    n, leaves = len(x), _leaves(x, most)
+    low, high = np.array([x[o].min(0) for o in leaves]), np.array([x[o].max(0) for o in leaves])
+    k, sc = min(min_samples, n - 1), spark.sparkContext
+    given = sc.broadcast((x, leaves, low, high))
+    parts = min(len(leaves), 8 * sc.defaultParallelism)
+
+    def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        d = np.zeros((len(p), len(q)))
+        for j in range(p.shape[1]):  # the same from both sides to the last bit
+            d += (p[:, j, None] - q[None, :, j]) ** 2
+        return np.sqrt(d)
+
+    def ahead(a: int) -> tuple[np.ndarray, np.ndarray]:
+        _, _, low, high = given.value
+        gap = np.sqrt((np.maximum(np.maximum(low - high[a], low[a] - high), 0) ** 2).sum(1)) * (1 - 1e-12)
+        order = np.argsort(gap, kind="stable")
+        return order, gap[order]
+
+    def cores(numbers: Iterator[int]) -> Iterator[tuple[int, np.ndarray]]:
+        x, leaves, _, _ = given.value
+        for a in numbers:
+            near = np.full((len(leaves[a]), k + 1), np.inf)
+            for b, gap in zip(*ahead(a), strict=True):
+                if gap > near[:, k].max():
+                    break
+                near = np.sort(np.partition(np.hstack([near, apart(x[leaves[a]], x[leaves[b]])]), k, axis=1)[:, : k + 1], axis=1)
+            yield a, near[:, k]
+
+    core = np.empty(n)
+    for a, c in sc.parallelize(range(len(leaves)), parts).mapPartitions(cores).collect():
+        core[leaves[a]] = c
+    component, edges = np.arange(n), []
+    while len(edges) < n - 1:
+        state = sc.broadcast((core, component, np.array([component[o].min() for o in leaves]), np.array([component[o].max() for o in leaves])))
+
+        def nearest(numbers: Iterator[int], state=state) -> Iterator[tuple[int, tuple[float, int, int]]]:
+            x, leaves, _, _ = given.value
+            core, component, least, most_ = state.value
+            best: dict[int, tuple[float, int, int]] = {}
+            for a in numbers:
+                own = leaves[a]
+                names, mine = np.unique(component[own], return_inverse=True)
+                floor = np.array([core[own[mine == c]].min() for c in range(len(names))])
+                found = [best.get(int(c), (np.inf, n, n)) for c in names]
+                order, gaps = ahead(a)
+                other = ~((least[order] == most_[order]) & (least[order] == names[0])) if len(names) == 1 else np.ones(len(order), bool)
+                for b, gap in zip(order[other], gaps[other], strict=True):
+                    open_ = [c for c in range(len(names)) if max(gap, floor[c]) <= found[c][0]]
+                    if not open_:
+                        break
+                    to = leaves[b]
+                    i = np.flatnonzero(np.isin(mine, open_))
+                    d = np.maximum(np.maximum(apart(x[own[i]], x[to]), core[own[i], None]), core[to])
+                    d[component[own[i], None] == component[to]] = np.inf
+                    row = d.min(1)
+                    for c in open_:
+                        w = row[mine[i] == c].min()
+                        if w <= found[c][0] and w < np.inf:
+                            p, q = np.nonzero((d == w) & (mine[i] == c)[:, None])
+                            ends = own[i[p]], to[q]
+                            u, v = np.minimum(*ends), np.maximum(*ends)
+                            e = int(np.lexsort((v, u))[0])
+                            found[c] = min(found[c], (float(w), int(u[e]), int(v[e])))
+                for c, e in zip(names, found, strict=True):
+                    best[int(c)] = e
+            yield from best.items()
+
+        chosen: dict[int, tuple[float, int, int]] = {}
+        for c, e in sc.parallelize(range(len(leaves)), parts).mapPartitions(nearest).collect():
+            chosen[c] = min(chosen.get(c, e), e)
+        state.unpersist()
+        parent = {c: c for c in chosen}
+
+        def root(c: int, parent=parent) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        for w, u, v in sorted(chosen.values()):
+            r, q = root(int(component[u])), root(int(component[v]))
+            if r != q:
+                parent[r] = q
+                edges.append((w, u, v))
+        to = np.arange(n)
+        to[list(parent)] = [root(c) for c in parent]
+        component = to[component]
+    given.unpersist()
+    return edges
+
+
 def maximal_marginal_relevance(topic_vec: np.ndarray, term_vecs: np.ndarray, terms: list[str], n: int = 10, diversity: float = 0.3) -> list[str]:
     """Terms near the topic and unlike those taken before."""
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)

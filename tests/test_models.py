@@ -37,6 +37,16 @@ def test_density_and_ward(blobs):
     assert agree([(r.id // 40, r.topic_id) for r in models.fit_agglomerative(blobs, "id", "v", 3, 12).collect()])
 
 
+def test_density_beyond_the_limit_is_exact(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, s, (n, 3)) for c, s, n in [(0, 0.3, 300), (4, 0.1, 40), (4.8, 0.1, 30)]] + [rng.uniform(-3, 8, (230, 3)), np.zeros((20, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    one, other = ({r.id: r.topic_id for r in models.fit_density(df, "id", "v", 15, 5, limit=limit).collect()} for limit in (1000, 100))
+    assert one == other and len(set(one.values())) > 2
+    a, b = models.mutual_tree(x, 5), models.mutual_tree_by_leaves(spark, x, 5, 32)
+    assert np.allclose(sorted(e[0] for e in a), sorted(e[0] for e in b), atol=1e-6)
+
+
 def test_density_of_nothing_and_little(spark):
     assert models.fit_density(spark.createDataFrame([], "id long, v array<double>"), "id", "v").count() == 0
     assert {r.topic_id for r in models.fit_density(spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, v array<double>"), "id", "v").collect()} == {-1}
