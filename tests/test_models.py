@@ -128,3 +128,10 @@ def test_embed_cache(spark, tmp_path):
         got = {r.doc_id: list(r.embedding) for r in Z.embed_cached(docs, "doc_id", "text", str(tmp_path / "c")).collect()}
         assert got[1] == got[3] and not any(got[2])
     assert Z.cache_info(str(tmp_path / "c"), spark)["entries"] == 2
+
+
+def test_tm_base_scores_every_document(spark, data):
+    from corpusmith.plans.more_queries import tm_base
+
+    ids = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").where("text is not null").select("doc_id").collect()}
+    assert ids <= {r.id for r in tm_base(spark, data).select("id").collect()}
