@@ -241,6 +241,14 @@ def test_mojibake_of_the_main_user_of_a_language(spark, wrong):
         assert put[f"bad{k}0"] == t
 
 
+def test_mojibake_with_lost_bytes(spark):
+    word = "größenänderung"
+    hurt = {"mixed": "gr\ufffdßenänderung", "double": "größen\ufffd\ufffdnderung"}
+    rows = [(f"c{i}", f"eine {word} hier") for i in range(5)] + [(f"o{i}", "eine grüßenänderung hier") for i in range(9)] + [(k, f"eine {w} hier") for k, w in hurt.items()]
+    put = {r.doc_id: r.restored for r in mojibake.restore_documents(docs(spark, rows), "doc_id", "text").collect()}
+    assert put == {"mixed": "eine grüßenänderung hier", "double": f"eine {word} hier"}
+
+
 def test_mojibake_of_unseen_characters(spark):
     rows = [(x, f"{c}first w{c}ord".encode().decode("cp1252")) for x, c in [("bom", "\ufeff"), ("narrow", "\u202f"), ("zero", "\u200b")]] + [("soft", "pre\xadfix".encode().decode("latin-1")), ("no", "first word")]
     assert {r.doc_id for r in mojibake.damaged_documents(docs(spark, rows), "doc_id", "text").collect()} == {"bom", "narrow", "zero", "soft"}
