@@ -106,35 +106,3 @@ def seed_plus_plus(x: np.ndarray, k: int, seed: int, weights: np.ndarray | None
         picks.append(int(rng.choice(len(x), p=p / p.sum())))
         d = np.minimum(d, ((x - x[picks[-1]]) ** 2).sum(1))
     return x[picks].copy()
-
-
-def to_cells(rows: DataFrame, centers: np.ndarray, dim: int, probes: int) -> DataFrame:
-    """(cell, home, id, v): each vector in its nearest cell, and as a visitor in the next ``probes - 1``."""
-    given = rows.sparkSession.sparkContext.broadcast(centers.astype(np.float32))
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = unpack(b.column(1), dim)
-            if len(m):
-                near = nearest(unit(m).astype(np.float32), given.value, probes)
-                for j in range(near.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(near[:, j].astype(np.int32)), pa.array(np.full(len(m), j == 0)), b.column(0), b.column(1)], ["cell", "home", "id", "v"])
-
-    return rows.select("id", "v").mapInArrow(place, f"cell int, home boolean, id {kind}, v binary")
-
-
-def home_counts(rows: DataFrame, centers: np.ndarray, dim: int) -> dict[int, int]:
-    """Rows by home cell: one number a cell, the number of cells being bounded by the fit."""
-    given = rows.sparkSession.sparkContext.broadcast(centers.astype(np.float32))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(given.value), np.int64)
-        for b in batches:
-            m = unpack(b.column(0), dim)
-            if len(m):
-                total += np.bincount(nearest(unit(m).astype(np.float32), given.value, 1)[:, 0], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "k"])
-
-    return {r.cell: r.k for r in rows.select("v").mapInArrow(count, "cell int, k bigint").groupBy("cell").agg(F.sum("k").alias("k")).collect()}

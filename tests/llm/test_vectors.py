@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
 
-from corpusmith.llm import clusters, knn
+from corpusmith.llm import cells, clusters, knn
 from corpusmith.llm.common import connected_components, unit
+from corpusmith.llm.vectors import vector_table
 
 DIM = 16
 
@@ -124,3 +125,62 @@ def test_kmeans_clusters(spark, cloud):
     assert clusters.kmeans_clusters(table(spark, []), "doc_id", "embedding", 3, DIM).count() == 0
     few = clusters.kmeans_clusters(table(spark, [row("a", np.eye(DIM)[0]), row("b", np.eye(DIM)[0])]), "doc_id", "embedding", 3, DIM).collect()
     assert [(r.cluster, r.size, r.typical) for r in few] == [("a", 2, ["a", "b"])]
+
+
+def test_codes_leave_few_rows_open(capsys):
+    """Packed one-bit codes: share of pairs that are compared exactly, recall in the cell, and the time of a plain product for comparison."""
+    import time
+
+    rng = np.random.default_rng(5)
+    topics = rng.standard_normal((50, 96)) * 1.7
+    x = unit(np.repeat(topics, 60, 0) + rng.standard_normal((3000, 96)))
+    center, turn, told = x.mean(0).astype(np.float32), knn.rotation(96, 512, 7), {}
+    began = time.perf_counter()
+    codes = knn.Codes.of(x.astype(np.float32), center, turn)
+    at, value = knn.search(x, codes, x[:1000], np.arange(1000), 5, center, turn, 1.9, told=told)
+    middle = time.perf_counter()
+    s = x[:1000].astype(np.float32) @ x.astype(np.float32).T
+    s[np.arange(1000), np.arange(1000)] = -2
+    want = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    end = time.perf_counter()
+    recall = np.mean([len(set(a) & set(b)) / 5 for a, b in zip(at.tolist(), want.tolist(), strict=True)])
+    with capsys.disabled():
+        print(f"open pairs {told['open'] / told['pairs']:.2%}, recall {recall:.4f}, codes {middle - began:.2f} s, plain product and sort {end - middle:.2f} s")
+    assert codes.bits.dtype == np.uint64 and codes.bits.shape == (8, 3000)
+    assert told["open"] < 0.03 * told["pairs"] and recall > 0.99
+    assert np.allclose(value, np.take_along_axis(x[:1000] @ x.T, at, 1))
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(6)
+    x = unit(rng.standard_normal((800, 96)) + 0.7)
+    center, turn = x.mean(0).astype(np.float32), knn.rotation(96, 512, 1)
+    upper = knn.Codes.of(x.astype(np.float32), center, turn).upper(x[:100].astype(np.float32), center, turn, 1.9)
+    assert np.mean(x[:100] @ x.T <= upper) > 0.94 and np.abs(upper - x[:100] @ x.T).mean() < 0.2
+
+
+def test_cells_of_two_levels(spark, cloud):
+    """Leaves fitted by the workers: none gets far beyond its share, however dense a region is."""
+    rng = np.random.default_rng(8)
+    dense = np.ones(DIM) + rng.standard_normal((600, DIM)) * 1e-3
+    vectors = cloud | {f"e{i}": v for i, v in enumerate(dense.astype(np.float32))}
+    df = table(spark, [row(n, v) for n, v in vectors.items()])
+    rows = vector_table(df, "doc_id", "embedding", DIM, 1).rows
+    found, sizes = cells.fit_cells(rows, len(vectors), DIM, 40, 7, driver_sample=100)
+    at, border = found.place(unit(np.array(list(vectors.values()))).astype(np.float32), 3)
+    held = np.bincount(at[:, 0], minlength=len(found.leaves))
+    assert len(found.tops) > 1 and len(found.leaves) == found.start[-1] and held.max() <= 120
+    assert abs(sizes.sum() - len(vectors)) < 0.1 * len(vectors) and (border[:, 0] == 0).all() and (border >= 0).all()
+    first, parts = found.blocks(np.array([10.0, 250.0, 0.0]), 100)
+    assert first.tolist() == [0, 1, 4] and parts.tolist() == [1, 3, 1]
+
+
+def test_one_link_across_cells_joins_two_groups(spark):
+    """Two dense groups, cut into many cells, hang together by a single document between them."""
+    rng = np.random.default_rng(9)
+    a, b = np.eye(DIM)[0], np.eye(DIM)[1]
+    groups = {f"{n}{i:03d}": c + rng.standard_normal(DIM) * 0.03 for n, c in (("a", a), ("b", b)) for i in range(120)}
+    apart = table(spark, [row(n, v) for n, v in groups.items()])
+    joined = table(spark, [row(n, v) for n, v in (groups | {"m": a + b}).items()])
+    found = [{r.doc_id: r.cluster for r in clusters.similarity_clusters(df, "doc_id", "embedding", 0.66, 5, DIM, cell_rows=30).collect()} for df in (apart, joined)]
+    assert set(found[0].values()) == {"a000", "b000"} and set(found[1].values()) == {"a000"} and len(found[1]) == 241
