@@ -103,9 +103,9 @@ def search(data: np.ndarray, codes: Codes, queries: np.ndarray, own: np.ndarray,
         upper[inside, me[inside]] = -np.inf  # a query isn't its own neighbour
         bar = np.full(len(q), -np.inf, np.float32) if least is None else least[s : s + step].astype(np.float32)
         if len(x) > 64 * k:
-            # the best row of each of many groups, by bound; exact values of the best of these give a first threshold
+            # the best row of each of many groups of rows far apart, by bound; exact values of the best of these give a first threshold
             groups = len(x) // 32
-            some = upper[:, : groups * 32].reshape(len(q), groups, 32).argmax(2) + np.arange(groups) * 32
+            some = upper[:, : groups * 32].reshape(len(q), 32, groups).argmax(1) * groups + np.arange(groups)
             order = np.argpartition(np.take_along_axis(upper, some, 1), -3 * k, axis=1)[:, -3 * k :]
             some = np.take_along_axis(some, order, 1)
             exact = np.einsum("ijk,ik->ij", x[some], q)
