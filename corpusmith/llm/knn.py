@@ -63,20 +63,23 @@ class Codes:
         high, low = packed(plus), packed(plus == large)
         total = len(self.weight)
         apart = np.empty((len(q), total), np.uint16)
-        word, ones = np.empty((rows, columns), np.uint64), np.empty((rows, columns), np.uint8)
+        word, ones, few = np.empty((rows, columns), np.uint64), np.empty((rows, columns), np.uint8), np.empty((rows, columns), np.uint8)
         for s in range(0, len(q), rows):
-            a, b = high[s : s + rows], low[s : s + rows]
             for w in range(0, total, columns):
-                own = apart[s : s + rows, w : w + columns]
-                t, c = word[: own.shape[0], : own.shape[1]], ones[: own.shape[0], : own.shape[1]]
+                own, bits = apart[s : s + rows, w : w + columns], self.bits[:, w : w + columns]
+                t, c, f = (m[: own.shape[0], : own.shape[1]] for m in (word, ones, few))
                 own[:] = 0
-                for plane in (a, b):
-                    for j, bits in enumerate(self.bits[:, w : w + columns]):
-                        np.bitwise_xor(plane[:, j, None], bits, out=t)
-                        np.bitwise_count(t, out=c)
-                        own += c
-                    if plane is a:
-                        own <<= 1
+                for plane in (high[s : s + rows], low[s : s + rows]):
+                    own <<= 1
+                    for j in range(len(bits)):  # counts of three words fit into a byte
+                        np.bitwise_xor(plane[:, j, None], bits[j], out=t)
+                        if j % 3:
+                            np.bitwise_count(t, out=c)
+                            f += c
+                        else:
+                            np.bitwise_count(t, out=f)
+                        if j % 3 == 2 or j == len(bits) - 1:
+                            own += f
         left = np.stack([gain * 3 * n, np.ones(len(q)), q @ center - center @ center, epsilon * length], 1).astype(np.float32)
         out = left @ np.stack([self.weight, self.base, np.ones(total, np.float32), self.error])
         sums = apart.astype(np.float32)
@@ -130,7 +133,7 @@ def search(data: np.ndarray, codes: Codes, queries: np.ndarray, own: np.ndarray,
 
 
 def most_similar(
-    df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 96, probes: int = 4, reach: float = 1.5, cell_rows: int = 6000, block: int = 32768, task_rows: int = 8192, bits: int = 512, epsilon: float = 1.9, seed: int = 7
+    df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 96, probes: int = 4, reach: float = 1.5, cell_rows: int = 4000, block: int = 32768, task_rows: int = 8192, bits: int = 384, epsilon: float = 1.9, seed: int = 7
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): the ``k`` most similar other documents of every document with a usable vector.
 
