@@ -35,6 +35,12 @@ def grow(x: np.ndarray, most: int, seed: int, fan: int = 16) -> np.ndarray:
     return np.array(out, np.float32).reshape(-1, x.shape[1])
 
 
+def without_small(leaves: np.ndarray, sample: np.ndarray, share: float) -> np.ndarray:
+    """The leaves that hold a tenth of their share of the sample: a centre of its own would cut outliers off from what is near them."""
+    held = np.bincount(nearest(sample, leaves, 1)[:, 0], minlength=len(leaves))
+    return leaves[held >= min(0.1 * share, held.max())]
+
+
 @dataclass
 class Cells:
     """Leaves in the order of the upper cells they belong to: those of upper cell t are ``start[t]`` to under ``start[t + 1]``."""
@@ -43,30 +49,38 @@ class Cells:
     leaves: np.ndarray
     start: np.ndarray
 
-    def place(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, probes) numbers of the nearest leaves of each unit row, nearest first, and how far the row lies from their borders.
+    def place(self, x: np.ndarray, probes: int, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, columns) numbers of the nearest leaves of each unit row, nearest first, and how far the row lies from their borders.
 
-        The distance to the border with the nearest leaf (column 0) is measured along the line through both centres; leaves that don't
-        exist are -1 at an infinite distance.
+        There are ``probes`` columns, and with ``apart`` one more for the nearest leaf of each upper cell looked at, so that a row between two
+        groups sees both, however finely one of them is divided. The distance to the border with the nearest leaf (column 0) is measured
+        along the line through both centres; leaves that don't exist or stand in a column before are -1 at an infinite distance.
         """
         n, near = len(x), nearest(x, self.tops, _TOPS)
         best = np.full((n, probes), np.inf, np.float32)
         at = np.full((n, probes), -1, np.int32)
+        other = np.full((n, near.shape[1]), np.inf, np.float32), np.full((n, near.shape[1]), -1, np.int32)
         rows, column = np.divmod(np.argsort(near.ravel(), kind="stable"), near.shape[1])
         cut = np.searchsorted(near[rows, column], np.arange(len(self.tops) + 1))
         norms = (self.leaves * self.leaves).sum(1)
         for t in np.flatnonzero(np.diff(cut)):
             own, a, b = rows[cut[t] : cut[t + 1]], self.start[t], self.start[t + 1]
             d = norms[a:b] - 2 * (x[own] @ self.leaves[a:b].T)
+            if apart:
+                first = d.argmin(1)
+                other[0][own, column[cut[t] : cut[t + 1]]], other[1][own, column[cut[t] : cut[t + 1]]] = d[np.arange(len(d)), first], first + a
             d = np.concatenate([best[own], d], 1)
             names = np.concatenate([at[own], np.broadcast_to(np.arange(a, b, dtype=np.int32), (len(own), b - a))], 1)
             pick = np.argpartition(d, probes - 1, axis=1)[:, :probes]
             best[own], at[own] = np.take_along_axis(d, pick, 1), np.take_along_axis(names, pick, 1)
         order = np.lexsort((at, best), axis=1)
         best, at = np.take_along_axis(best, order, 1), np.take_along_axis(at, order, 1)
-        apart = np.linalg.norm(self.leaves[at] - self.leaves[at[:, :1]], axis=2)
+        if apart:
+            other[1][(other[1][:, :, None] == at[:, None]).any(2)] = -1
+            best, at = np.concatenate([best, other[0]], 1), np.concatenate([at, other[1]], 1)
+        between = np.linalg.norm(self.leaves[at] - self.leaves[at[:, :1]], axis=2)
         with np.errstate(invalid="ignore", divide="ignore"):
-            border = (best - best[:, :1]) / (2 * np.maximum(apart, 1e-6))
+            border = (best - best[:, :1]) / (2 * np.maximum(between, 1e-6))
         border[at < 0] = np.inf
         border[:, 0] = 0
         return at, border
@@ -89,6 +103,7 @@ def fit_cells(rows: DataFrame, n: int, dim: int, cell_rows: int, seed: int, per_
     sample = sample_vectors(rows, n, min(size, driver_sample), dim)
     if size <= driver_sample or len(sample) >= n:
         leaves = seeded(wanted) if seeded else lloyd(sample, grow(sample, int(1.5 * len(sample) / wanted) + 1, seed), 2)
+        leaves = without_small(leaves, sample, len(sample) / wanted)
         tops = grow(leaves, int(1.5 * len(leaves) ** 0.5) + 1, seed)
         own = nearest(leaves, tops, 1)[:, 0]
         order = np.argsort(own, kind="stable")
@@ -108,7 +123,7 @@ def fit_cells(rows: DataFrame, n: int, dim: int, cell_rows: int, seed: int, per_
     def fit(group: pa.Table) -> pa.Table:
         group = group.sort_by([("h1", "ascending"), ("h2", "ascending")]).combine_chunks()
         x = unit(unpack(group["v"], dim)).astype(np.float32)
-        leaves = lloyd(x, grow(x, most, seed), 2)
+        leaves = without_small(lloyd(x, grow(x, most, seed), 2), x, most)
         held = np.bincount(nearest(x, leaves, 1)[:, 0], minlength=len(leaves))
         return pa.table({"top": pa.array(np.full(len(leaves), group["top"][0].as_py(), np.int32)), "held": held, "c": pack(leaves)})
 

@@ -35,7 +35,7 @@ class VectorTable:
     n: int  # documents
 
 
-def vector_table(df: DataFrame, id_col: str, vec_col: str, dim: int, keep: int) -> VectorTable:
+def vector_table(df: DataFrame, id_col: str, vec_col: str, dim: int, keep: int, broadcast_rows: int = 500_000) -> VectorTable:
     """The usable vectors, each document once; of documents with equal vectors only the ``keep`` smallest ids stay in ``rows``.
 
     Of an id with several usable vectors the one with the smallest fingerprint counts. The joins that drop rows are only
@@ -58,8 +58,9 @@ def vector_table(df: DataFrame, id_col: str, vec_col: str, dim: int, keep: int)
     spare = None
     if keys.groupBy("h").count().where(F.col("count") > keep).limit(1).count():
         first = keys.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= keep)
-        spare = keys.join(first.select("id"), "id", "left_anti").select("id", "h.h1", "h.h2")
-        rows = rows.join(first.select("id"), "id", "left_semi")
+        spare = materialise(keys.join(first.select("id"), "id", "left_anti").select("id", "h.h1", "h.h2"))
+        few = spare.limit(broadcast_rows + 1).count() <= broadcast_rows  # else the vectors are shuffled for the join
+        rows = rows.join(F.broadcast(spare.select("id")) if few else spare.select("id"), "id", "left_anti")
     return VectorTable(rows, spare, n)
 
 
