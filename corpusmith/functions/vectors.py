@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,3 +48,23 @@ def margin(p: Column) -> Column:
 
 def least_confidence(p: Column) -> Column:
     return 1.0 - F.array_max(p)
+
+
+def mean_vectors(df: DataFrame, group: str, vec: str) -> DataFrame:
+    """(group, n, v): number and mean of the vectors of each group, added up within the batches, then by group."""
+    kind = df.schema[group].dataType.simpleString()
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                at, names = pd.factorize(b["g"])
+                x, order = np.stack(b["v"].to_numpy()), np.argsort(at, kind="stable")
+                sums = np.add.reduceat(x[order], np.searchsorted(at[order], np.arange(len(names))), axis=0)
+                yield pd.DataFrame({"g": names, "n": np.bincount(at), "s": list(sums)})
+
+    def total(b: pd.DataFrame) -> pd.DataFrame:
+        n = int(b["n"].sum())
+        return pd.DataFrame({"group": b["g"].iloc[:1], "n": [n], "v": [np.sum(np.stack(b["s"]), 0) / n]})
+
+    some = df.where(F.col(vec).isNotNull()).select(F.col(group).alias("g"), F.col(vec).cast("array<double>").alias("v"))
+    return some.mapInPandas(partial, f"g {kind}, n bigint, s array<double>").groupBy("g").applyInPandas(total, f"group {kind}, n bigint, v array<double>")

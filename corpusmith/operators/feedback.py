@@ -34,6 +34,23 @@ def combined(df: DataFrame, id_col: str, probs: str, vec: str, n: int, ratio: fl
     return first.unionByName(diverse(rest, id_col, vec, n - int(n * ratio)).select(id_col, F.lit("diverse").alias("reason")))
 
 
+def to_review(df: DataFrame, id_col: str, n: int, probs: str | None = None, vec: str | None = None, ratio: float = 0.7, seed: int = 42) -> DataFrame:
+    """(id, reason) of ``n`` documents to review: uncertain and diverse ones where both columns are given, uncertain ones with
+    probabilities alone, diverse ones with vectors alone, else a random choice that is the same on every run."""
+    if probs and vec:
+        return combined(df, id_col, probs, vec, n, ratio)
+    if probs:
+        return uncertain(df, id_col, probs, n).select(id_col, F.lit("uncertain").alias("reason"))
+    if vec:
+        return diverse(df, id_col, vec, n, seed).select(id_col, F.lit("diverse").alias("reason"))
+    return df.where(F.col(id_col).isNotNull()).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).select(id_col, F.lit("random").alias("reason")).limit(n)
+
+
+def refit(df: DataFrame, topic: str, vec: str) -> DataFrame:
+    """(group, n, v): the topics' vectors learnt again from the documents as they are labelled now."""
+    return V.mean_vectors(df.where(F.col(topic).isNotNull()), topic, vec)
+
+
 def label_issues(df: DataFrame, id_col: str, label: str, probs: str, classes: list[str]) -> DataFrame:
     """(id, given, suggested, self_confidence): confident learning.
 

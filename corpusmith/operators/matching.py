@@ -13,13 +13,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmith.functions import vectors as V
+from corpusmith.functions.vectors import mean_vectors
 
 MAX_TOPICS = 2_000
 
 
 def topic_list(topics: DataFrame, name: str, vec: str) -> list[tuple[str, list[float]]]:
-    """The topics on the driver, by name; refused past ``MAX_TOPICS``, for which ``similarities_joined`` is the way."""
+    """The topics on the driver, by name; refused past ``MAX_TOPICS``."""
     rows = topics.orderBy(name).limit(MAX_TOPICS + 1).collect()
     if len(rows) > MAX_TOPICS:
         raise ValueError(f"more than {MAX_TOPICS} topics")
@@ -27,9 +27,8 @@ def topic_list(topics: DataFrame, name: str, vec: str) -> list[tuple[str, list[f
 
 
 def class_means(df: DataFrame, label: str, vec: str) -> DataFrame:
-    """(label, v): mean vector of each label."""
-    parts = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.posexplode(vec).alias("j", "x")).groupBy("label", "j").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda e: e["x"]).alias("v"))
+    """(label, v): mean vector of each label; vectors are added up inside the batches first."""
+    return mean_vectors(df.where(F.col(label).isNotNull()), label, vec).select(F.col("group").alias("label"), "v")
 
 
 def similarities(df: DataFrame, id_col: str, vec: str, topics: list[tuple[str, list[float]]], digits: int = 9) -> DataFrame:
@@ -55,30 +54,45 @@ def similarities(df: DataFrame, id_col: str, vec: str, topics: list[tuple[str, l
     return some.mapInPandas(run, f"id {kind}, topic string, score double").withColumn("score", F.round("score", digits))
 
 
-def similarities_joined(df: DataFrame, id_col: str, vec: str, topics: DataFrame, name: str, topic_vec: str, digits: int = 9) -> DataFrame:
-    """The same with the topics as a table, for lists too long for literals."""
-    both = df.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).crossJoin(topics.select(F.col(name).alias("topic"), F.col(topic_vec).alias("t")))
-    return both.select("id", "topic", F.round(F.coalesce(V.cosine(F.col("v"), F.col("t")), F.lit(0.0)), digits).alias("score"))
-
-
 def or_unknown(score: Column, topic: Column, threshold: float) -> Column:
     return F.when(score >= threshold, topic).otherwise("Unknown")
 
 
-def match_one(scores: DataFrame, threshold: float = 0.6) -> DataFrame:
+def best_topics(df: DataFrame, id_col: str, vec: str, topics: list[tuple[str, list[float]]], at_most: int, digits: int = 9) -> DataFrame:
+    """(id, topics, scores): the ``at_most`` best topics of each document, best first, equal scores by falling name; found inside the batch."""
+    ordered = sorted(topics, reverse=True)
+    matrix = np.array([v for _, v in ordered], np.float64).reshape(len(ordered), -1)
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    given = df.sparkSession.sparkContext.broadcast((np.array([n for n, _ in ordered], object), matrix))
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, m = given.value
+        for whole in batches:
+            for s in range(0, len(whole), 2048):
+                b = whole.iloc[s : s + 2048]
+                x = np.stack(b["v"].to_numpy())
+                score = np.round(x @ m.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), digits)
+                order = np.argsort(-score, axis=1, kind="stable")[:, :at_most]
+                yield pd.DataFrame({"id": b["id"].to_numpy(), "topics": list(names[order]), "scores": list(np.take_along_axis(score, order, 1))})
+
+    some = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    return some.mapInPandas(run, f"id {kind}, topics array<string>, scores array<double>")
+
+
+def match_one(df: DataFrame, id_col: str, vec: str, topics: list[tuple[str, list[float]]], threshold: float = 0.6, digits: int = 9) -> DataFrame:
     """(id, primary_topic, topic_probability): the best topic, ``Unknown`` below the threshold; the score is always the best one."""
-    best = scores.groupBy("id").agg(F.max(F.struct("score", "topic")).alias("b"))
-    return best.select("id", or_unknown(F.col("b.score"), F.col("b.topic"), threshold).alias("primary_topic"), F.col("b.score").alias("topic_probability"))
+    best = best_topics(df, id_col, vec, topics, 1, digits)
+    return best.select("id", or_unknown(F.col("scores")[0], F.col("topics")[0], threshold).alias("primary_topic"), F.col("scores")[0].alias("topic_probability"))
 
 
-def match_many(scores: DataFrame, threshold: float = 0.6, at_most: int = 3) -> DataFrame:
+def match_many(df: DataFrame, id_col: str, vec: str, topics: list[tuple[str, list[float]]], threshold: float = 0.6, at_most: int = 3, digits: int = 9) -> DataFrame:
     """(id, all_topics, all_scores, primary_topic, topic_probability): topics at the threshold, best first; without any ``Unknown`` and 0."""
-    ranked = F.slice(F.sort_array(F.filter(F.collect_list(F.struct("score", "topic")), lambda x: x["score"] >= threshold), asc=False), 1, at_most)
-    packed = scores.groupBy("id").agg(ranked.alias("m"))
-    none = F.size("m") == 0
-    topics = F.when(none, F.array(F.lit("Unknown"))).otherwise(F.transform("m", lambda x: x["topic"]))
-    values = F.when(none, F.array(F.lit(0.0))).otherwise(F.transform("m", lambda x: x["score"]))
-    return packed.select("id", topics.alias("all_topics"), values.alias("all_scores"), topics[0].alias("primary_topic"), values[0].alias("topic_probability"))
+    best = best_topics(df, id_col, vec, topics, at_most, digits)
+    held = F.size(F.filter("scores", lambda x: x >= threshold))  # the scores fall
+    names = F.when(held == 0, F.array(F.lit("Unknown"))).otherwise(F.slice("topics", F.lit(1), held))
+    values = F.when(held == 0, F.array(F.lit(0.0))).otherwise(F.slice("scores", F.lit(1), held))
+    return best.select("id", names.alias("all_topics"), values.alias("all_scores"), names[0].alias("primary_topic"), values[0].alias("topic_probability"))
 
 
 def wide(scores: DataFrame, topics: list[str]) -> DataFrame:

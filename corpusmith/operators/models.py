@@ -68,6 +68,30 @@ def assign_to_centers(df: DataFrame, id_col: str, vec: str, centers: np.ndarray)
     return _features(df, id_col, vec).select("id", "v").mapInPandas(run, shape)
 
 
+def nearest_sums(df: DataFrame, vec: str, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """((k, dim) sums, counts) of the vectors nearest each centre, added up inside the batches, then by centre."""
+    given = df.sparkSession.sparkContext.broadcast(np.asarray(centers, np.float64))
+    k, dim = centers.shape
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, count = np.zeros((k, dim)), np.zeros(k)
+        for b in batches:
+            if len(b):
+                x = np.stack(b["v"].to_numpy()).astype(np.float64)
+                at = _distances(x, given.value).argmin(1)
+                np.add.at(total, at, x)
+                count += np.bincount(at, minlength=k)
+        yield pd.DataFrame({"c": range(k), "s": list(total), "n": count})
+
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": b["c"].iloc[:1], "s": [np.sum(np.stack(b["s"]), 0)], "n": [b["n"].sum()]})
+
+    shape = "c int, s array<double>, n double"
+    some = df.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"))
+    got = {r.c: r for r in some.mapInPandas(run, shape).groupBy("c").applyInPandas(add, shape).collect()}
+    return np.array([got[i].s for i in range(k)]), np.array([got[i].n for i in range(k)])
+
+
 def topic_terms(assigned: DataFrame, weights: DataFrame, n: int = 20) -> DataFrame:
     """(topic, term, weight, rank): summed term weights of each topic's documents."""
     summed = assigned.select("id", F.col("topic_id").alias("topic")).join(weights.select("id", "term", "weight"), "id").groupBy("topic", "term").agg(F.sum("weight").alias("weight"))
@@ -116,9 +140,9 @@ class TopicModel:
     def transform(self, docs: DataFrame, id_col: str, text: str | None = None, vec: str | None = None) -> DataFrame:
         """(id, topic_id, probability) of new documents."""
         if self.method in ("nmf", "lsa"):
-            return _project_documents(self, Z.term_frequencies(docs, id_col, text))
+            return _project_rows(Z.sparse_rows(docs, id_col, text, self.vocab), self.components, self.method == "nmf")
         if self.method in ("tfidf",):
-            return assign_rows(_rows(Z.tfidf(Z.term_frequencies(docs, id_col, text), self.vocab)), self.centers)
+            return assign_rows(Z.sparse_rows(docs, id_col, text, self.vocab), self.centers)
         if self.centers is None:
             raise ValueError(f"{self.method} can't score new documents")
         if vec is None:
@@ -167,33 +191,70 @@ class TopicModel:
 def fit_kmeans_embeddings(docs: DataFrame, id_col: str, text: str, vectors: DataFrame, vec: str, k: int = 10, max_features: int = 1000, seed: int = 42, restarts: int = 1) -> TopicModel:
     """K-means on embeddings; words by summed counts over a vocabulary of the corpus."""
     _, centers = kmeans_assign(vectors, id_col, vec, k, seed, restarts)
-    assigned = materialise(relabel(assign_to_centers(vectors, id_col, vec, centers).select("id", "topic_id", "probability")))
-    tf = Z.term_frequencies(docs, id_col, text)
-    vocab = Z.vocabulary(tf, max_features)
-    counts = tf.join(F.broadcast(vocab.select("term")), "term").select("id", "term", F.col("tf").cast("double").alias("weight"))
-    return TopicModel("simple_kmeans", assigned, topic_terms(assigned, counts), centers)
+    raw = materialise(assign_to_centers(vectors, id_col, vec, centers).select("id", "topic_id", "probability"))
+    order = new_numbers(raw)
+    vocab = Z.fit_vocabulary(docs, id_col, text, max_features)
+    total = topic_sums(Z.sparse_rows(docs, id_col, text, vocab, counts=True).join(raw.select("id", "topic_id"), "id"), len(centers), vocab.count())
+    held = [i for i in range(len(centers)) if i in order]
+    assigned = raw.withColumn("topic_id", renumbered(F.col("topic_id"), order))
+    return TopicModel("simple_kmeans", assigned, _row_words(total[held], [order[i] for i in held], vocab), centers[sorted(order, key=order.get)])
+
+
+def new_numbers(assigned: DataFrame) -> dict[int, int]:
+    """New number of each topic by falling size, ties by smallest id; one row a topic."""
+    sizes = assigned.groupBy("topic_id").agg(F.count("*").alias("n"), F.min("id").alias("first")).collect()
+    return {r.topic_id: i for i, r in enumerate(sorted(sizes, key=lambda r: (-r.n, r.first)))}
+
+
+def renumbered(topic, order: dict[int, int]):
+    return F.create_map(*[F.lit(int(x)) for p in order.items() for x in p])[topic] if order else topic
+
+
+def topic_sums(rows: DataFrame, k: int, v: int) -> np.ndarray:
+    """(k, v) summed weights of the rows (topic_id, idx, w) of each topic: k x v numbers, first summed up by the partitions."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, v))
+        for b in batches:
+            n, at, w = _flat(b)
+            np.add.at(total, (np.repeat(b["topic_id"].to_numpy(), n), at), w)
+        yield pd.DataFrame({"c": range(k), "s": list(total)})
+
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": b["c"].iloc[:1], "s": [np.sum(np.stack(b["s"]), 0)]})
+
+    got = {r.c: r.s for r in rows.select("topic_id", "idx", "w").mapInPandas(run, "c int, s array<double>").groupBy("c").applyInPandas(add, "c int, s array<double>").collect()}
+    return np.array([got.get(i, np.zeros(v)) for i in range(k)]).reshape(k, v)
+
+
+def _row_words(rows: np.ndarray, topics: list[int], vocab: DataFrame, n: int = 20) -> DataFrame:
+    """(topic, term, weight, rank) of the largest entries of each topic's row, as ``top_terms`` ranks them; entries of 0 are left out."""
+    names = {r.idx: r.term for r in vocab.select("idx", "term").collect()}  # the vocabulary is bounded by max_features
+    out = []
+    for topic, row in zip(topics, np.round(rows, 6), strict=True):
+        best = sorted(np.flatnonzero(row > 0), key=lambda j: (-row[j], names[j]))[:n]
+        out += [(int(topic), names[j], float(row[j]), r + 1) for r, j in enumerate(best)]
+    return vocab.sparkSession.createDataFrame(out, "topic int, term string, weight double, rank int")
 
 
-def _weights(docs: DataFrame, id_col: str, text: str, max_features: int) -> tuple[DataFrame, DataFrame]:
-    """TF-IDF of a corpus, worked out once: the counts are kept for vocabulary and weights, then let go."""
-    tf = Z.term_frequencies(docs, id_col, text).persist()
-    vocab = materialise(Z.with_idf(Z.vocabulary(tf, max_features), docs.where(F.col(id_col).isNotNull()).count()))
-    weights = materialise(Z.tfidf(tf, vocab))
-    tf.unpersist()
-    return weights, vocab
+def _term_rows(docs: DataFrame, id_col: str, text: str, max_features: int) -> tuple[DataFrame, DataFrame, int]:
+    """(kept sparse rows, vocabulary, its size) of a corpus: one pass for the vocabulary, one for the rows."""
+    vocab = Z.fit_vocabulary(docs, id_col, text, max_features)
+    return Z.sparse_rows(docs, id_col, text, vocab).persist(), vocab, vocab.count()
 
 
 def fit_tfidf_kmeans(docs: DataFrame, id_col: str, text: str, k: int = 10, max_features: int = 1000, seed: int = 42) -> TopicModel:
     """K-means on TF-IDF rows; words by summed weights."""
-    weights, vocab = _weights(docs, id_col, text, max_features)
-    size = vocab.count()
+    rows, vocab, size = _term_rows(docs, id_col, text, max_features)
     if not size:
         return TopicModel("tfidf", docs.sparkSession.createDataFrame([], "id string, topic_id int, probability double"), docs.sparkSession.createDataFrame([], "topic int, term string, weight double, rank int"))
-    rows = _rows(weights).persist()
     centers = sparse_kmeans(rows, size, k, seed)
-    assigned = materialise(relabel(assign_rows(rows, centers)))
+    raw = materialise(assign_rows(rows, centers))
+    total, _, _ = _center_sums(rows, centers)
     rows.unpersist()
-    return TopicModel("tfidf", assigned, topic_terms(assigned, weights), centers, vocab)
+    order = new_numbers(raw)
+    held = sorted(order, key=order.get)
+    return TopicModel("tfidf", raw.withColumn("topic_id", renumbered(F.col("topic_id"), order)), _row_words(total[held], list(range(len(held))), vocab), centers[held], vocab)
 
 
 def sparse_kmeans(rows: DataFrame, size: int, k: int, seed: int = 42, iterations: int = 15, sample: int = 4096, tol: float = 1e-4) -> np.ndarray:
@@ -269,21 +330,13 @@ def assign_rows(rows: DataFrame, centers: np.ndarray) -> DataFrame:
     return rows.mapInPandas(run, f"id {kind}, topic_id int, probability double")
 
 
-def _rows(weights: DataFrame) -> DataFrame:
-    """(id, idx, w): each document's sparse row, ordered."""
-    packed = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("c"))
-    return packed.select("id", F.transform("c", lambda x: x["idx"]).alias("idx"), F.transform("c", lambda x: x["weight"]).alias("w"))
-
-
 def fit_nmf(docs: DataFrame, id_col: str, text: str, k: int = 10, max_features: int = 1000, iterations: int = 15, seed: int = 42, tol: float = 1e-4) -> TopicModel:
     """Non-negative factors by alternating updates: rows stay distributed, the k x V factor is broadcast.
 
     Each pass solves every row for the given factor by multiplicative steps and adds up W'X (k x V) and W'W (k x k) from
     partial sums of the workers; the factor is updated on the driver, whose memory is k x V at most.
     """
-    weights, vocab = _weights(docs, id_col, text, max_features)
-    rows = _rows(weights).persist()
-    v = vocab.count()
+    rows, vocab, v = _term_rows(docs, id_col, text, max_features)
     h = np.abs(np.random.default_rng(seed).standard_normal((k, v))) * 0.1 + 0.01
     previous = np.inf
     for _ in range(iterations):
@@ -307,10 +360,16 @@ def _nmf_solve(x: np.ndarray, h: np.ndarray, steps: int = 12) -> np.ndarray:
     return w
 
 
+def _flat(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms of each row, all term numbers, all weights) of packed rows."""
+    n = np.fromiter((len(x) // 4 for x in b["idx"]), np.int64, len(b))
+    return n, np.frombuffer(b"".join(b["idx"]), np.int32), np.frombuffer(b"".join(b["w"]), np.float32)
+
+
 def _dense(b: pd.DataFrame, v: int) -> np.ndarray:
     x = np.zeros((len(b), v), np.float32)
-    if len(b):
-        x[np.repeat(np.arange(len(b)), [len(at) for at in b["idx"]]), np.concatenate(b["idx"].to_list())] = np.concatenate(b["w"].to_list())
+    n, at, w = _flat(b)
+    x[np.repeat(np.arange(len(b)), n), at] = w
     return x
 
 
@@ -354,10 +413,6 @@ def _project_rows(rows: DataFrame, h: np.ndarray, nmf: bool) -> DataFrame:
     return rows.mapInPandas(run, f"id {kind}, topic_id int, probability double, weights array<double>")
 
 
-def _project_documents(model: TopicModel, tf: DataFrame) -> DataFrame:
-    return _project_rows(_rows(Z.tfidf(tf, model.vocab)), model.components, model.method == "nmf")
-
-
 def _component_words(h: np.ndarray, vocab: DataFrame, n: int = 20) -> DataFrame:
     names = {r.idx: r.term for r in vocab.select("idx", "term").collect()}  # the vocabulary is bounded by max_features
     rows = []
@@ -372,8 +427,7 @@ def fit_lsa(docs: DataFrame, id_col: str, text: str, k: int = 10, max_features:
 
     Each pass multiplies X'X with a narrow V x (k + spare) block, summed up by the workers; no V x V matrix is made.
     """
-    weights, vocab = _weights(docs, id_col, text, max_features)
-    rows, size = _rows(weights).persist(), vocab.count()
+    rows, vocab, size = _term_rows(docs, id_col, text, max_features)
     width = min(k + spare, size)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
     for _ in range(passes):
@@ -411,7 +465,7 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
 
 
 def fit_lda(docs: DataFrame, id_col: str, text: str, k: int = 10, iterations: int = 20, vocab_size: int = 5000, min_df: float = 2, max_df: float = 0.9, seed: int = 42) -> TopicModel:
-    """Online variational LDA; (id, topic_id, probability, distribution) with the largest share first."""
+    """Online variational LDA; (id, topic_id, probability, distribution) with the largest share first; ``extra`` holds the log perplexity a word."""
     words = docs.select(F.col(id_col).alias("id"), F.filter(T.words(F.col(text)), lambda w: ~w.isin(T.STOP_WORDS)).alias("words"))
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab_size, minDF=min_df, maxDF=max_df).fit(words)
     data = counter.transform(words).persist()
@@ -419,9 +473,10 @@ def fit_lda(docs: DataFrame, id_col: str, text: str, k: int = 10, iterations: in
     spread = model.transform(data).select("id", vector_to_array("topicDistribution").alias("distribution"))
     best = F.array_max(F.transform("distribution", lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
     assigned = materialise(spread.select("id", (-best["i"]).cast("int").alias("topic_id"), best["p"].alias("probability"), "distribution"))
+    perplexity = float(model.logPerplexity(data))
     data.unpersist()
     rows = [(r.topic, counter.vocabulary[t], float(w), i + 1) for r in model.describeTopics(20).collect() for i, (t, w) in enumerate(zip(r.termIndices, r.termWeights, strict=True))]
-    return TopicModel("lda", assigned, docs.sparkSession.createDataFrame(rows, "topic int, term string, weight double, rank int"), extra={"perplexity": None})
+    return TopicModel("lda", assigned, docs.sparkSession.createDataFrame(rows, "topic int, term string, weight double, rank int"), extra={"perplexity": perplexity})
 
 
 def topic_counts(assigned: DataFrame, spread: str, least: float = 0.2, compat: bool = False) -> DataFrame:
@@ -434,26 +489,48 @@ def topic_counts(assigned: DataFrame, spread: str, least: float = 0.2, compat: b
 
 
 def ward(centers: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
-    """Ward merging of weighted points down to ``k`` groups; group numbers in the order of their first point."""
-    groups = [[i] for i in range(len(centers))]
-    c, n = [np.asarray(x, float) for x in centers], [float(s) for s in sizes]
-    while len(groups) > k:
-        m, w = np.stack(c), np.array(n)
-        d = ((m[:, None] - m[None]) ** 2).sum(2) * (w[:, None] * w[None]) / (w[:, None] + w[None])
-        d[np.tril_indices(len(d))] = np.inf
-        i, j = np.unravel_index(d.argmin(), d.shape)
-        c[i] = (c[i] * n[i] + c[j] * n[j]) / (n[i] + n[j])
+    """Ward merging of weighted points down to ``k`` groups; group numbers in the order of their first point.
+
+    The costs of merging are updated in place and every row keeps its cheapest partner, so a merge costs time in proportion to the points.
+    """
+    x, n, count = np.asarray(centers, float), np.asarray(sizes, float).copy(), len(centers)
+    if count <= k:
+        return np.arange(count)
+    sq = (x * x).sum(1)
+    d = np.maximum(sq[:, None] - 2 * x @ x.T + sq, 0) * (n[:, None] * n / (n[:, None] + n))
+    np.fill_diagonal(d, np.inf)
+    near, group, live = d.argmin(1), np.arange(count), np.ones(count, bool)
+    least = d[np.arange(count), near]
+    for _ in range(count - k):
+        i = int(np.where(live, least, np.inf).argmin())
+        i, j = sorted((i, int(near[i])))
+        new = ((n[i] + n) * d[i] + (n[j] + n) * d[j] - n * d[i, j]) / (n[i] + n[j] + n)
+        new[[i, j]] = np.inf
+        new[~live] = np.inf
         n[i] += n[j]
-        groups[i] += groups[j]
-        del groups[j], c[j], n[j]
-    out = np.empty(len(centers), np.int64)
-    for g, own in enumerate(sorted(groups, key=min)):
-        out[own] = g
-    return out
+        live[j] = False
+        d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
+        group[group == j] = i
+        stale = np.flatnonzero(live & ((near == i) | (near == j) | (np.arange(count) == i)))
+        near[stale] = d[stale].argmin(1)
+        least[stale] = d[stale, near[stale]]
+        closer = live & (new < least)
+        near[closer], least[closer] = i, new[closer]
+    return np.unique(group, return_inverse=True)[1]
 
 
-def fit_agglomerative(vectors: DataFrame, id_col: str, vec: str, n_clusters: int, micro: int = 200, seed: int = 42) -> DataFrame:
-    """(id, topic_id, probability): Ward on the centres of many small k-means clusters, weighted by their sizes."""
+def fit_agglomerative(vectors: DataFrame, id_col: str, vec: str, n_clusters: int, micro: int = 200, exact: int = 2000, seed: int = 42) -> DataFrame:
+    """(id, topic_id, probability): Ward merging of up to ``exact`` vectors themselves, of more by the centres of many small k-means clusters.
+
+    Beyond ``exact`` the hierarchy starts at ``micro`` (or twice ``n_clusters``) weighted centres: all pairs of all points have no bound.
+    """
+    few = _features(vectors, id_col, vec).select("id", "v").orderBy("id").limit(exact + 1).collect()
+    if len(few) <= exact:
+        kind = vectors.schema[id_col].dataType.simpleString()
+        if not few:
+            return vectors.sparkSession.createDataFrame([], f"id {kind}, topic_id int, probability double")
+        group = ward(np.array([r.v for r in few]), np.ones(len(few)), n_clusters)
+        return relabel(vectors.sparkSession.createDataFrame([(r.id, int(g), 1.0) for r, g in zip(few, group, strict=True)], f"id {kind}, topic_id int, probability double"))
     n = vectors.count()
     k = int(min(max(micro, 2 * n_clusters), max(n // 3, n_clusters)))
     fine, centers = kmeans_assign(vectors, id_col, vec, k, seed)
@@ -727,8 +804,8 @@ def fit_composed(docs: DataFrame, id_col: str, text: str, encoder: Z.Encoder | N
     assigned = materialise(fit_density(low, id_col, "v", min_cluster_size, min_samples))
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(assigned.select("id", "topic_id"), "id")
     words = Z.top_terms(Z.class_tfidf(labelled.where("topic_id >= 0"), "topic_id", "t", reduce_frequent, bm25), 20)
-    centers = vectors.select(F.col(id_col).alias("id"), "embedding").join(assigned.where("topic_id >= 0").select("id", "topic_id"), "id").select("topic_id", F.posexplode("embedding").alias("j", "x")).groupBy("topic_id", "j").agg(F.avg("x").alias("x")).groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda e: e["x"]).alias("v"))
-    held = {r.topic_id: r.v for r in centers.collect()}  # one vector a topic
+    own = vectors.select(F.col(id_col).alias("id"), "embedding").join(assigned.where("topic_id >= 0").select("id", "topic_id"), "id")
+    held = {r.group: r.v for r in V.mean_vectors(own, "topic_id", "embedding").collect()}  # one vector a topic
     matrix = np.array([held[i] for i in sorted(held)]) if held else None
     if diversity is not None and matrix is not None:
         rows = []

@@ -28,7 +28,9 @@ def share(value: str, *by: str) -> Column:
 
 def rescale(value: str, low: float, high: float, *by: str) -> Column:
     """Min-max scaling to low..high within a group; a group with one value gets ``high``."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if not by:
+        raise ValueError("rescale within groups; one window over the whole table would be one task")
+    w = Window.partitionBy(*by)
     least, most = F.min(value).over(w), F.max(value).over(w)
     return F.when(most > least, low + (F.col(value) - least) / (most - least) * (high - low)).otherwise(F.lit(float(high)))
 
@@ -192,4 +194,4 @@ def topic_sample(df: DataFrame, id_col: str, topic: str, n: int = 5) -> DataFram
 
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows that look random and are the same on every run."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(n)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,7 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text as T
-from corpusmith.session import materialise, spread
+from corpusmith.session import spread
+
+_TERM = re.compile(r"\w{2,}")  # letters, digits and underscores, as the column pattern of words
 
 
 def term_frequencies(df: DataFrame, id_col: str, text: str, pattern: str = T.WORD) -> DataFrame:
@@ -49,9 +54,72 @@ def tfidf(tf: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def fit_tfidf(df: DataFrame, id_col: str, text: str, max_features: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(weights, vocabulary with idf) of a corpus."""
-    tf = term_frequencies(df, id_col, text)
-    vocab = materialise(with_idf(vocabulary(tf, max_features), df.where(F.col(id_col).isNotNull()).count()))
-    return tfidf(tf, vocab), vocab
+    vocab = fit_vocabulary(df, id_col, text, max_features)
+    return tfidf(term_frequencies(df, id_col, text), vocab), vocab
+
+
+def term_statistics(df: DataFrame, text: str, flush: int = 200_000) -> DataFrame:
+    """(term, ctf, df) of a corpus: counted in the workers over whole batches, then added up by term."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+        held: Counter[str] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            terms = list(total)
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([total[t] for t in terms], pa.int64()), pa.array([held[t] for t in terms], pa.int64())], ["term", "ctf", "df"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                own = _TERM.findall(t.lower()) if t else ()
+                total.update(own)
+                held.update(set(own))
+            if len(total) > flush:
+                yield rows()
+                total.clear()
+                held.clear()
+        yield rows()
+
+    return spread(df.select(F.col(text).alias("t"))).mapInArrow(count, "term string, ctf bigint, df bigint").groupBy("term").agg(F.sum("ctf").alias("ctf"), F.sum("df").alias("df"))
+
+
+def fit_vocabulary(df: DataFrame, id_col: str, text: str, max_features: int = 1000) -> DataFrame:
+    """(term, idx, ctf, df, idf): the most frequent terms as ``vocabulary`` picks and numbers them, at most ``max_features`` rows."""
+    some = df.where(F.col(id_col).isNotNull())
+    n = some.count()
+    best = term_statistics(some, text).orderBy(F.desc("ctf"), "term").limit(max_features).collect()
+    rows = [(r.term, i, r.ctf, r.df, float(np.log((1.0 + n) / (1.0 + r.df)) + 1.0)) for i, r in enumerate(sorted(best, key=lambda r: r.term))]
+    return df.sparkSession.createDataFrame(rows, "term string, idx int, ctf bigint, df bigint, idf double")
+
+
+def sparse_rows(df: DataFrame, id_col: str, text: str, vocab: DataFrame, counts: bool = False) -> DataFrame:
+    """(id, idx, w): each text's TF-IDF row of length one over a fitted vocabulary (or its plain counts), in one pass over the text.
+
+    Term numbers as packed int32, ascending, and weights as packed float32. Texts without a known term have no row. The vocabulary is
+    bounded by its ``max_features`` and sent to the workers.
+    """
+    given = df.sparkSession.sparkContext.broadcast({r.term: (r.idx, r.idf) for r in vocab.select("term", "idx", "idf").collect()})
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {t: i for t, (i, _) in given.value.items()}
+        idf = np.zeros(max(number.values(), default=-1) + 1)
+        for i, x in given.value.values():
+            idf[i] = x
+        for b in batches:
+            held, at, w = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                own = [number[x] for x in _TERM.findall(t.lower()) if x in number] if t else None
+                if own:
+                    tf = np.bincount(own, minlength=len(idf))
+                    terms = np.flatnonzero(tf)
+                    weight = tf[terms].astype(np.float64) if counts else tf[terms] * idf[terms]
+                    held.append(i)
+                    at.append(terms.astype(np.int32).tobytes())
+                    w.append((weight if counts else weight / np.linalg.norm(weight)).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(held, pa.int64())), pa.array(at, pa.binary()), pa.array(w, pa.binary())], ["id", "idx", "w"])
+
+    return spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"))).mapInArrow(run, f"id {kind}, idx binary, w binary")
 
 
 def class_tfidf(df: DataFrame, topic: str, text: str, reduce_frequent: bool = False, bm25: bool = False) -> DataFrame:
@@ -87,9 +155,7 @@ Encoder = Callable[[pd.Series], np.ndarray]
 
 def hashed_encoder(dim: int = 64, seed: int = 13) -> Encoder:
     """An encoder that needs no model: words hashed to signed random directions, log-weighted, of length one."""
-    import re
     import zlib
-    from collections import Counter
 
     pattern, known, table = re.compile(r"\w{2,}"), {}, []
 
@@ -118,16 +184,38 @@ def hashed_encoder(dim: int = 64, seed: int = 13) -> Encoder:
     return encode
 
 
-def embed(df: DataFrame, id_col: str, text: str, encoder: Encoder | None = None) -> DataFrame:
-    """(id, embedding): Arrow batches through an encoder of texts; null texts embed as empty ones."""
+def embed(df: DataFrame, id_col: str, text: str, encoder: Encoder | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, embedding, *keep): Arrow batches through an encoder of texts; null texts embed as empty ones."""
     encode = encoder or hashed_encoder()
+    shape = ", ".join([f"id {df.schema[id_col].dataType.simpleString()}", "embedding array<float>", *(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "embedding": list(np.asarray(encode(b["t"].fillna("")), np.float32)), **{c: b[c] for c in keep}})
+
+    return spread(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), *keep)).mapInPandas(run, shape).withColumnRenamed("id", id_col)
+
+
+def to_half(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """(id, half): vectors as packed half-precision numbers, two bytes an entry; null vectors stay null."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "half": [None if v is None else np.asarray(v, np.float16).tobytes() for v in b["v"]]})
+
+    return df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<float>").alias("v")).mapInPandas(run, f"id {kind}, half binary").withColumnRenamed("id", id_col)
+
+
+def from_half(df: DataFrame, id_col: str, half: str) -> DataFrame:
+    """(id, embedding): the vectors back from ``to_half``."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "embedding": list(np.asarray(encode(b["t"].fillna("")), np.float32))})
+            yield pd.DataFrame({"id": b["id"], "embedding": [None if v is None else np.frombuffer(v, np.float16).astype(np.float32) for v in b["h"]]})
 
-    return spread(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))).mapInPandas(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(half).alias("h")).mapInPandas(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", id_col)
 
 
 def embed_cached(df: DataFrame, id_col: str, text: str, path: str, encoder: Encoder | None = None, version: str = "hashed-64") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -221,17 +222,17 @@ def jn_cross_doc_topic(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sup_match1", f"with {_SCORES} select id, case when score >= 0.2 then topic else 'Unknown' end as primary_topic, score as topic_probability from scores qualify row_number() over (partition by id order by score desc, topic desc) = 1")
 def sup_match1(spark: SparkSession, d: str) -> DataFrame:
-    return matching.match_one(_scores(spark, d), 0.2)
+    return matching.match_one(_vecs(spark, d), "vec_id", "embedding", _topics(spark, d), 0.2, 6)
 
 
 @query("sup_match_default", f"with {_SCORES} select id, case when score >= 0.6 then topic else 'Unknown' end as primary_topic, score as topic_probability from scores qualify row_number() over (partition by id order by score desc, topic desc) = 1")
 def sup_match_default(spark: SparkSession, d: str) -> DataFrame:
-    return matching.match_one(_scores(spark, d))
+    return matching.match_one(_vecs(spark, d), "vec_id", "embedding", _topics(spark, d), digits=6)
 
 
 @query("sup_matchN", f"with {_SCORES}, r as (select *, row_number() over (partition by id order by score desc, topic desc) as r from scores where score >= 0.2), m as (select id, string_agg(topic, ',' order by r) as topics, round(sum(score), 6) as total from r where r <= 3 group by 1) select vec_id as id, coalesce(topics, 'Unknown') as all_topics, coalesce(total, 0.0) as total from embeddings left join m on vec_id = id")
 def sup_match_n(spark: SparkSession, d: str) -> DataFrame:
-    out = matching.match_many(_scores(spark, d), 0.2)
+    out = matching.match_many(_vecs(spark, d), "vec_id", "embedding", _topics(spark, d), 0.2, digits=6)
     return out.select("id", F.array_join("all_topics", ",").alias("all_topics"), F.round(F.aggregate("all_scores", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
 
 
@@ -260,11 +261,19 @@ for _kind in ("logistic", "random_forest", "svm", "xgboost"):
         return matching.classify(matching.fit_classifier(v, "name", "embedding", kind), v, "vec_id", "embedding")
 
 
+@query("sup_predict")
+def sup_predict(spark: SparkSession, d: str) -> DataFrame:
+    """A saved classifier, loaded again and put to a table of its own."""
+    path, v = work_path(spark, "classifier"), _vecs(spark, d)
+    matching.fit_classifier(v, "name", "embedding", "logistic").write().overwrite().save(path)
+    return matching.classify(PipelineModel.load(path), v.select("vec_id", "embedding"), "vec_id", "embedding")
+
+
 _BEST = f"{_SCORES}, best as (select id, topic, score from scores qualify row_number() over (partition by id order by score desc, topic desc) = 1), pair as (select 'label_' || cast(label as varchar) as t, topic as p from embeddings join best on vec_id = id)"
 
 
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
-    best = matching.match_one(_scores(spark, d), -1.0)
+    best = matching.match_one(_vecs(spark, d), "vec_id", "embedding", _topics(spark, d), -1.0, 6)
     return _vecs(spark, d).select(F.col("vec_id").alias("id"), "name").join(best, "id")
 
 
@@ -458,11 +467,19 @@ def src_upload(spark: SparkSession, d: str) -> DataFrame:
     return readers.upload(spark, path).distinct()
 
 
-@query("snk_export", "select doc_id, topic, round(topic_probability, 6) as topic_probability from sample_documents")
+@query("snk_export", "select doc_id, topic, topic_probability from sample_documents")
 def snk_export(spark: SparkSession, d: str) -> DataFrame:
     path = work_path(spark, "export")
     writers.export(table(spark, d, "sample_documents").select("doc_id", "topic", "topic_probability"), path, ("parquet", "json"))
-    return spark.read.parquet(f"{path}/results.parquet").withColumn("topic_probability", F.round("topic_probability", 6))
+    return spark.read.parquet(f"{path}/results.parquet")
+
+
+@query("snk_export_csv", "select vec_id, label, embedding[1] as embedding_0, embedding[64] as embedding_63 from embeddings")
+def snk_export_csv(spark: SparkSession, d: str) -> DataFrame:
+    """CSV with one column an entry of the vectors, read back as they were stored."""
+    path = work_path(spark, "export")
+    writers.export(table(spark, d, "embeddings"), path, ("csv",), "embedding", 64)
+    return spark.read.options(header="true").schema("vec_id bigint, label int, " + ", ".join(f"embedding_{i} float" for i in range(64))).csv(f"{path}/results.csv").select("vec_id", "label", "embedding_0", "embedding_63")
 
 
 @query("snk_feedback", "select doc_id, original_topic, corrected_topic, original_topic is distinct from corrected_topic as changed from feedback_log")
@@ -524,11 +541,10 @@ def st_embed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("st_windows", "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type as topic, count(*) as count, round(coalesce(sum(value), 0), 4) as total from events where ts is not null and event_type is not null group by 1, 2")
 def st_windows(spark: SparkSession, d: str) -> DataFrame:
-    name = "w" + work_path(spark, "w").rsplit("-", 1)[1]
     counts = jobs.topic_counts(_stream(spark, d, "events"), "ts", "event_type", value="value")
-    q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", work_path(spark, "check")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "topic", "count", F.round("total", 4).alias("total"))
+    sink = jobs.Latest(work_path(spark, "windows"), "window_start", "topic")
+    counts.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", work_path(spark, "check")).trigger(availableNow=True).start().awaitTermination()
+    return sink.read(spark).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "topic", "count", F.round("total", 4).alias("total"))
 
 
 @query("st_update")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import shutil
 import tempfile
 from pathlib import Path
 
@@ -23,7 +22,7 @@ from corpusmith.plans import text_queries as X
 from corpusmith.plans.pipeline import Workflow
 from corpusmith.plans.registry import QUERIES, SQL, query, table
 from corpusmith.session import shared_dir, work_path
-from corpusmith.sources import writers
+from corpusmith.sources import readers, writers
 from corpusmith.streaming import jobs
 
 
@@ -35,8 +34,7 @@ def _same(name: str, as_: str) -> None:
 
 
 for _a, _b in (
-    ("fb_impact", "agg_transitions"), ("fb_compare", "jn_full_counts"), ("fb_delta", "agg_feedback_delta"), ("sup_classify", "sup_classify_logistic"), ("sup_predict", "sup_classify_logistic"),
-    ("proj_umap", "proj_pca"), ("proj_tsne", "proj_pca"), ("tm_topic_info", "tm_tfidf"), ("st_genfile", "st_embed"),
+    ("fb_impact", "agg_transitions"), ("fb_compare", "jn_full_counts"), ("fb_delta", "agg_feedback_delta"), ("sup_classify", "sup_classify_logistic"), ("tm_topic_info", "tm_tfidf"),
 ):
     _same(_a, _b)
 
@@ -103,18 +101,36 @@ def agg_lda_topics_compat(spark: SparkSession, d: str) -> DataFrame:
     return models.topic_counts(M._probs(spark, d), "p", 0.11, compat=True)
 
 
-@query("emb_precision", "with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), s as (select vec_id, e, list_max(list_transform(e, lambda x: abs(x))) / 127 as scale from e) select vec_id, round(scale, 9) as scale, cast(list_sum(list_transform(e, lambda x: floor(x / scale + 0.5))) as bigint) as total from s")
+@query("emb_precision", "select vec_id, len(embedding) * 2 as bytes, true as near from embeddings")
 def emb_precision(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors as one-byte numbers and a scale, a quarter of the space."""
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    scaled = e.withColumn("scale", F.array_max(F.transform("e", F.abs)) / 127)
-    packed = scaled.withColumn("q", F.transform("e", lambda x: F.floor(x / F.col("scale") + 0.5).cast("tinyint")))
-    return packed.select("vec_id", F.round("scale", 9).alias("scale"), F.aggregate("q", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total"))
+    """Vectors kept in half precision, half the space; every entry comes back within half a unit in the last of its eleven bits."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    halved = Z.to_half(e, "vec_id", "embedding")
+    back = Z.from_half(halved, "vec_id", "half").withColumnRenamed("embedding", "back")
+    near = F.forall(F.zip_with("embedding", "back", lambda a, b: F.abs(a - b) <= F.abs(a) * 2.0**-11 + 2.0**-25), lambda x: x)
+    return e.join(halved, "vec_id").join(back, "vec_id").select("vec_id", F.length("half").cast("bigint").alias("bytes"), near.alias("near"))
 
 
-@query("fb_setup")
+@query("fb_setup", "select doc_id, 'random' as reason from documents order by md5('42:' || cast(doc_id as varchar)), doc_id limit 30")
 def fb_setup(spark: SparkSession, d: str) -> DataFrame:
-    return QUERIES["al_combined"](spark, d)
+    """What to review where no model has given probabilities yet: a random choice."""
+    return feedback.to_review(table(spark, d, "documents"), "doc_id", 30)
+
+
+@query("fb_setup_model", "select 30 as documents, 21 as uncertain")
+def fb_setup_model(spark: SparkSession, d: str) -> DataFrame:
+    """With probabilities and vectors: uncertain documents first, the rest unlike each other."""
+    both = M._probs(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    return feedback.to_review(both, "id", 30, "p", "embedding").agg(F.count_distinct("id").alias("documents"), F.count_if(F.col("reason") == "uncertain").alias("uncertain"))
+
+
+@query("fb_update", """with last as (select doc_id, corrected_topic from feedback_log where doc_id is not null qualify row_number() over (partition by doc_id order by logged_at desc, corrected_topic desc nulls last) = 1), docs as (select distinct doc_id, topic from sample_documents),
+now as (select coalesce(corrected_topic, topic) as topic from docs left join last using (doc_id)) select topic, count(*) as documents from now where topic is not null group by 1""")
+def fb_update(spark: SparkSession, d: str) -> DataFrame:
+    """One turn of the loop: feedback applied, topic vectors learnt again from the texts as they are now labelled."""
+    docs = table(spark, d, "sample_documents").groupBy("doc_id", "topic").agg(F.min("text").alias("text"))
+    new = feedback.apply_feedback(docs, "doc_id", "topic", table(spark, d, "feedback_log"), "corrected_topic", "logged_at")
+    return feedback.refit(Z.embed(new, "doc_id", "text", keep=("current_topic",)), "current_topic", "embedding").select(F.col("group").alias("topic"), F.col("n").alias("documents"))
 
 
 # sources, sinks, configuration: files of the driver
@@ -125,9 +141,12 @@ def _folder(spark: SparkSession) -> Path:
     return Path(tempfile.mkdtemp(prefix="corpusmith-", dir=path if Path(path).is_dir() else None))
 
 
-@query("src_iter")
+@query("src_iter", "select doc_id, text from documents")
 def src_iter(spark: SparkSession, d: str) -> DataFrame:
-    return Z.embed(table(spark, d, "sample_documents").where("doc_id is not null"), "doc_id", "text")
+    """Rows that a Python iterator yields, written in batches; a batch that is already there isn't written again."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text"), work_path(spark, "iterated")
+    readers.from_iterator(spark, map(tuple, docs.limit(10).toLocalIterator()), docs.schema, path, 4)  # a first run that was cut short
+    return readers.from_iterator(spark, map(tuple, docs.toLocalIterator(prefetchPartitions=True)), docs.schema, path, 5000, restart=True)
 
 
 @query("src_team", SQL["team_ops"])
@@ -156,11 +175,12 @@ def src_config(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c.workflow.method, c.workflow.num_topics, c.matching.threshold)], "method string, num_topics int, threshold double")
 
 
-@query("snk_config", "select true as same")
+@query("snk_config", X._CLEAN.format("acronym"))
 def snk_config(spark: SparkSession, d: str) -> DataFrame:
+    """A configuration with the team's acronyms, written and read back."""
     path = str(_folder(spark) / "config.json")
-    config.save(config.Config(), path)
-    return spark.createDataFrame([(config.load(path) == config.Config(),)], "same boolean")
+    config.save(config.Config.from_dict({"acronyms": {"mappings": D.as_dict(D.clean_terms(table(spark, d, "team_terms"), "acronym"))}}), path)
+    return spark.createDataFrame(sorted(config.load(path).acronyms.mappings.items()), "term string, replacement string")
 
 
 @query("snk_json", "select topic as name, count(*) as count, round(count(*) / sum(count(*)) over (), 6) as share from sample_documents where topic is not null group by 1")
@@ -201,19 +221,23 @@ def snk_spell_html(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(a, int(n)) for a, n in re.findall(r"<tr><td>([^<]+)</td><td>(\d+)</td>", page)], "word string, count long")
 
 
-@query("cfg_model", "select * from (values ('acronyms', 3), ('clustering', 5), ('embeddings', 4), ('lda', 5), ('matching', 3), ('normalization', 7), ('reporting', 4), ('spelling', 5), ('workflow', 2)) v(part, settings)")
+@query("cfg_model", SQL["team_contract"])
 def cfg_model(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(k, len(v)) for k, v in config.Config().to_dict().items()], "part string, settings int")
+    """The team's dictionaries as sections of the configuration."""
+    t = table(spark, d, "team_terms")
+    c = config.Config.from_dict({"acronyms": {"mappings": D.as_dict(D.clean_terms(t, "acronym"))}, "spelling": {"corrections": D.as_dict(D.clean_terms(t, "correction"))}}).to_dict()
+    return spark.createDataFrame([("acronyms", len(c["acronyms"]["mappings"])), ("corrections", len(c["spelling"]["corrections"]))], "part string, entries long")
 
 
-@query("cfg_validate", "select * from (values ('algorithm'), ('alpha'), ('format'), ('method'), ('precision'), ('resample')) v(refused)")
+@query("cfg_validate", "select distinct term as refused from team_terms where term is not null")
 def cfg_validate(spark: SparkSession, d: str) -> DataFrame:
+    """None of the team's terms is the name of a method, so each is refused as one."""
     refused = []
-    for name, part, values in (("algorithm", "clustering", {"algorithm": "x"}), ("alpha", "lda", {"alpha": "x"}), ("format", "reporting", {"formats": ["x"]}), ("method", "workflow", {"method": "x"}), ("precision", "embeddings", {"precision": "x"}), ("resample", "reporting", {"resample": "x"})):
+    for r in table(spark, d, "team_terms").where("term is not null").select("term").distinct().collect():  # a small table
         try:
-            config.Config.from_dict({part: values})
+            config.Config.from_dict({"workflow": {"method": r.term}})
         except ValueError:
-            refused.append((name,))
+            refused.append((r.term,))
     return spark.createDataFrame(refused, "refused string")
 
 
@@ -249,8 +273,6 @@ def udf_encoder(spark: SparkSession, d: str) -> DataFrame:
 
 @query("udf_filter", "select doc_id as id, text from documents where category = 'Home' and n_chars < 1000")
 def udf_filter(spark: SparkSession, d: str) -> DataFrame:
-    from corpusmith.sources import readers
-
     return readers.scan(spark, f"{d}/documents.parquet", "text", "doc_id", lambda df: df.where("category = 'Home' and n_chars < 1000"))
 
 
@@ -264,14 +286,16 @@ def udf_scorer(spark: SparkSession, d: str) -> DataFrame:
 _same("udf_grid", "opt_search")
 
 
-@query("udf_callback", "select 3 as calls, count(*) as documents from (select distinct doc_id from feedback_log where doc_id is not null)")
+@query("udf_callback", "select unnest(['expand_acronyms', 'correct_spelling', 'preprocess']) as stage, (select count(*) from sample_documents) as documents, (select count(*) from sample_documents where text is not null) as texts")
 def udf_callback(spark: SparkSession, d: str) -> DataFrame:
-    """A plain function that is told after each step."""
-    told: list[str] = []
-    log = feedback.latest(table(spark, d, "feedback_log"), "doc_id", "logged_at", "corrected_topic")
-    for step in ("reviewed", "applied", "updated"):
-        (lambda s: told.append(s))(step)
-    return log.agg(F.lit(len(told)).alias("calls"), F.count("*").alias("documents"))
+    """A function of one's own that the workflow tells about every stage and its table."""
+    told: list[tuple[str, int, int]] = []
+    flow = Workflow.start(table(spark, d, "sample_documents"), told=lambda stage, df: told.append((stage, *df.agg(F.count("*"), F.count("text")).first())))
+    fix = {k: D.as_dict(D.clean_terms(table(spark, d, "team_terms"), k)) for k in ("acronym", "correction")}
+    flow.expand_acronyms(fix["acronym"]).correct_spelling(fix["correction"]).preprocess()
+    # null texts count as empty once a stage has read them
+    empty = table(spark, d, "sample_documents").where("text is null").count()
+    return spark.createDataFrame([(s, n, k - empty) for s, n, k in told], "stage string, documents long, texts long")
 
 
 @query("udf_template", "select 'own: ' || cast(count(distinct topic) as varchar) as page from sample_documents where topic is not null")
@@ -294,23 +318,36 @@ def st_fit(spark: SparkSession, d: str) -> DataFrame:
     return models.kmeans_assign(spark.read.parquet(out), "doc_id", "embedding", 5)[0].drop("probabilities")
 
 
-@query("st_process", "select count(*) as documents, 64 as dim from documents")
+@query("st_process", "select count(*) as documents, 64 as dim, 5 as topics, true as timed from documents")
 def st_process(spark: SparkSession, d: str) -> DataFrame:
-    out, _ = _embedded(spark, d)
-    return spark.read.parquet(out).agg(F.count("*").alias("documents"), F.max(F.size("embedding")).alias("dim"))
+    """A stream of files end to end: embedded, fitted, labelled, with its counters."""
+    out, told = _embedded(spark, d)
+    labelled = models.kmeans_assign(spark.read.parquet(out), "doc_id", "embedding", 5)[0].join(spark.read.parquet(out), "doc_id")
+    return labelled.agg(F.count_distinct("doc_id").alias("documents"), F.max(F.size("embedding")).alias("dim"), F.count_distinct("topic_id").alias("topics"), F.lit(told["batches"] > 0 and told["ms"] > 0).alias("timed"))
 
 
-@query("st_stats", "select count(*) as rows from documents")
+@query("st_stats", "select count(*) as rows, true as batches from documents")
 def st_stats(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(int(_embedded(spark, d)[1]["rows"]),)], "rows long")
+    told = _embedded(spark, d)[1]
+    return spark.createDataFrame([(int(told["rows"]), told["batches"] >= 1)], "rows long, batches boolean")
+
 
+@query("st_genfile", "select doc_id, 64 as dim from documents where doc_id is not null")
+def st_genfile(spark: SparkSession, d: str) -> DataFrame:
+    """CSV files that are streamed through the encoder."""
+    folder, out = work_path(spark, "files"), work_path(spark, "stream")
+    table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text")).write.options(header="true", escape='"').csv(folder)
+    jobs.to_table(jobs.embed_stream(readers.stream(spark, folder, "doc_id bigint, text string", "csv", 4), "doc_id", "text"), out, work_path(spark, "check")).awaitTermination()
+    return spark.read.parquet(out).select("doc_id", F.size("embedding").alias("dim"))
 
-@query("st_clean", "select false as left_over")
+
+@query("st_clean", "select count(*) as documents, 0 as left_over from documents")
 def st_clean(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark)
-    (folder / "part").write_text("x")
-    shutil.rmtree(folder)
-    return spark.createDataFrame([(folder.exists(),)], "left_over boolean")
+    """The output and checkpoint of a finished stream removed; how much there was and what is left of it."""
+    out, _ = _embedded(spark, d)
+    documents = spark.read.parquet(out).count()
+    jobs.clean(spark, out)
+    return spark.createDataFrame([(documents, int(jobs.exists(spark, out)))], "documents long, left_over int")
 
 
 @query("wf_viz", S._grid("last_day(obs_ts)", top=10) + " select * from filled")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -22,25 +23,32 @@ class Workflow:
     spec: CorpusSpec
     config: Config = Config()
     model: models.TopicModel | None = None
+    told: Callable[[str, DataFrame], None] | None = None
 
     @classmethod
-    def start(cls, data: str | DataFrame, text: str = "text", id: str = "doc_id", time: str | None = None, geo: str | None = None, category: str | None = None, config: Config | None = None, spark=None) -> Workflow:
+    def start(cls, data: str | DataFrame, text: str = "text", id: str = "doc_id", time: str | None = None, geo: str | None = None, category: str | None = None, config: Config | None = None, spark=None, told: Callable[[str, DataFrame], None] | None = None) -> Workflow:
+        """``told`` is called with the name and the table of every stage that ran."""
         spec = CorpusSpec(text, id, time, geo, category)
-        return cls(load(data, spec, spark), spec, config or Config())
+        return cls(load(data, spec, spark), spec, config or Config(), told=told)
+
+    def _next(self, stage: str, documents: DataFrame, **changes) -> Workflow:
+        if self.told is not None:
+            self.told(stage, documents)
+        return replace(self, documents=documents, **changes)
 
     def expand_acronyms(self, mapping: dict[str, str] | None = None) -> Workflow:
         mapping = mapping if mapping is not None else dict(self.config.acronyms.mappings)
-        return self if not mapping else replace(self, documents=self.documents.withColumn(self.spec.text, prepare.expand_acronyms(F.col(self.spec.text), mapping)))
+        return self if not mapping else self._next("expand_acronyms", self.documents.withColumn(self.spec.text, prepare.expand_acronyms(F.col(self.spec.text), mapping)))
 
     def correct_spelling(self, corrections: dict[str, str] | None = None) -> Workflow:
         corrections = corrections if corrections is not None else dict(self.config.spelling.corrections)
         s = self.config.spelling
-        return self if not corrections else replace(self, documents=self.documents.withColumn(self.spec.text, prepare.correct_text(F.col(self.spec.text), corrections, min_length=s.min_word_length, max_distance=s.max_distance, min_score=s.min_score)))
+        return self if not corrections else self._next("correct_spelling", self.documents.withColumn(self.spec.text, prepare.correct_text(F.col(self.spec.text), corrections, min_length=s.min_word_length, max_distance=s.max_distance, min_score=s.min_score)))
 
     def preprocess(self, **flags: bool) -> Workflow:
         n = self.config.normalization
         options = {"lowercase": n.lowercase, "remove_punctuation": n.remove_punctuation, "remove_numbers": n.remove_numbers, "lemmatize": n.lemmatize, "custom": n.custom_stop_words, "keep": n.keep_words} | flags
-        return replace(self, documents=self.documents.withColumn("processed_text", T.normalize(F.col(self.spec.text), **options)))
+        return self._next("preprocess", self.documents.withColumn("processed_text", T.normalize(F.col(self.spec.text), **options)))
 
     def embed(self, encoder: vectorize.Encoder | None = None) -> DataFrame:
         return vectorize.embed(self.documents, self.spec.id, self.spec.text, encoder or vectorize.hashed_encoder(self.config.embeddings.dimension))
@@ -49,7 +57,7 @@ class Workflow:
         ready = self if "processed_text" in self.documents.columns else self.preprocess()
         model = models.discover(ready.documents, self.spec.id, "processed_text", method or self.config.workflow.method, num_topics or self.config.workflow.num_topics, **options)
         topics = model.assigned.select(F.col("id").alias(self.spec.id), F.when(F.col("topic_id") < 0, "Noise").otherwise(F.concat(F.lit("Topic_"), F.col("topic_id"))).alias("topic"), F.col("probability").alias("topic_probability"))
-        return replace(ready, documents=ready.documents.drop("topic", "topic_probability").join(topics, self.spec.id, "left"), model=model)
+        return ready._next("discover", ready.documents.drop("topic", "topic_probability").join(topics, self.spec.id, "left"), model=model)
 
     def match(self, topics: dict[str, str], threshold: float | None = None, multiple: bool | None = None, encoder: vectorize.Encoder | None = None) -> DataFrame:
         """Documents against described topics: both go through the same encoder."""
@@ -57,10 +65,10 @@ class Workflow:
         spark = self.documents.sparkSession
         described = spark.createDataFrame([(k, f"{k}: {v}" if v else k) for k, v in topics.items()], "topic string, t string")
         given = matching.topic_list(vectorize.embed(described, "topic", "t", encode), "topic", "embedding")
-        scores = matching.similarities(self.embed(encode), self.spec.id, "embedding", given)
+        rows = self.embed(encode)
         m = self.config.matching
         limit = m.threshold if threshold is None else threshold
-        return matching.match_many(scores, limit, m.max_topics_per_doc) if (m.assign_multiple if multiple is None else multiple) else matching.match_one(scores, limit)
+        return matching.match_many(rows, self.spec.id, "embedding", given, limit, m.max_topics_per_doc) if (m.assign_multiple if multiple is None else multiple) else matching.match_one(rows, self.spec.id, "embedding", given, limit)
 
     def trends(self, freq: str = "W", top: int = 10) -> DataFrame:
         return series.topic_periods(self.documents, self.spec.time, "topic", freq, top=top)

@@ -258,7 +258,7 @@ def limit_first(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "category").orderBy("doc_id").limit(20)
 
 
-@query("sample_n")
+@query("sample_n", "select doc_id, category from documents order by md5('42:' || cast(doc_id as varchar)), doc_id limit 100")
 def sample_n(spark: SparkSession, d: str) -> DataFrame:
     return series.hash_sample(table(spark, d, "documents").select("doc_id", "category"), "doc_id", 100)
 

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SPLIT_BYTES = 128 << 20  # what one task reads of a file at most by default
+
+
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
     """A local session as the tests and the bench use it; on a cluster the caller brings the session."""
     spark = (
@@ -27,11 +30,13 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_me
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests), a local one is made and set."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset and the session is local (tests), one is made and set."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corpusmith-checkpoint-"))
         current = sc.getCheckpointDir()
     return configured or current
@@ -44,9 +49,15 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of an input with fewer partitions than cores dealt out evenly, for work that costs more than moving them; else ``df`` as it is."""
+    """Rows of a small input in fewer files than cores dealt out evenly, for work that costs more than moving them; else ``df`` as it is.
+
+    Looks at the plan's estimated size and files alone and runs nothing.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if not df.isStreaming and df.rdd.getNumPartitions() < n else df
+    if df.isStreaming or len(df.inputFiles()) >= n:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size < n * SPLIT_BYTES else df
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusmith.session import materialise
+
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json", ".jsonl": "json", ".orc": "orc", ".txt": "text"}
 
 
@@ -83,8 +86,32 @@ def upload(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_ids(df: DataFrame, *order: str, name: str = "doc_id") -> DataFrame:
-    """``doc_0``, ``doc_1``, ... by an explicit order: a range-partitioned sort and offsets, no single task."""
-    ordered = df.orderBy(*order).rdd.zipWithIndex().map(lambda p: (*p[0], f"doc_{p[1]}"))
-    from pyspark.sql.types import StringType, StructField
-
-    return df.sparkSession.createDataFrame(ordered, StructType([*df.schema.fields, StructField(name, StringType())]))
+    """``doc_0``, ``doc_1``, ... by an explicit order: a range-partitioned sort, places in the partition and offsets of the partitions."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(sorted_.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))
+    ahead = F.coalesce(F.sum("_held").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = placed.groupBy("_part").agg(F.count("*").alias("_held")).select("_part", ahead.alias("_ahead"))  # one row a partition
+    numbered = placed.join(F.broadcast(offsets), "_part")
+    return numbered.select(*df.columns, F.concat(F.lit("doc_"), (F.col("_place") + F.col("_ahead")).cast("string")).alias(name))
+
+
+def from_iterator(spark: SparkSession, rows: Iterable[tuple], schema: StructType | str, path: str, batch_rows: int = 10_000, restart: bool = False) -> DataFrame:
+    """A table of what an iterator yields, which may be longer than memory: ``batch_rows`` rows at a time are written under ``path``.
+
+    Batches that a former run with the same path has finished are skipped; ``restart`` begins anew.
+    """
+    it, n = iter(rows), 0
+    while batch := list(islice(it, batch_rows)):
+        to = f"{path}/batch={n}"
+        if restart or not _finished(spark, to):
+            spark.createDataFrame(batch, schema).write.mode("overwrite").parquet(to)
+        n += 1
+    kind = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
+    if not n:
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).parquet(*[f"{path}/batch={i}" for i in range(n)])
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -91,15 +91,10 @@ class Refresh:
 
     def _update(self, spark, rows: DataFrame, batch_id: int) -> None:
         _, centers, weights = self._state(spark)
-        rows = rows.withColumn("id", F.monotonically_increasing_id())
         if centers is None:
-            centers = np.stack(models.kmeans_fit(rows, "id", "v", self.k, self.seed).clusterCenters())
+            centers = np.stack(models.kmeans_fit(rows.withColumn("id", F.monotonically_increasing_id()), "id", "v", self.k, self.seed).clusterCenters())
             weights = np.zeros(len(centers))
-        near = models.assign_to_centers(rows, "id", "v", centers).select("id", "topic_id")
-        sums = rows.select("id", F.posexplode("v").alias("j", "x")).join(near, "id").groupBy("topic_id", "j").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n")).collect()  # k x dim sums
-        total, count = np.zeros_like(centers), np.zeros(len(centers))
-        for r in sums:
-            total[r.topic_id, r.j], count[r.topic_id] = r.s, r.n
+        total, count = models.nearest_sums(rows, "v", centers)
         held = count > 0
         merged = weights + count
         centers[held] = (centers[held] * weights[held, None] + total[held]) / merged[held, None]
@@ -113,3 +108,27 @@ def progress(query: StreamingQuery) -> dict[str, object]:
     return {"batches": len(rows), "rows": sum(int(p["numInputRows"]) for p in rows), "ms": sum(int(p["durationMs"].get("triggerExecution", 0)) for p in rows)}
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def clean(spark: SparkSession, *paths: str) -> None:
+    """Removes outputs, buffers and checkpoints of finished streams, on whatever file system they are."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Latest:
+    """A sink for aggregates in update mode: every batch's changed rows as a table, of which the last of each key count."""
+
+    def __init__(self, path: str, *keys: str):
+        self.path, self.keys = path, keys
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        last = Window.partitionBy(*self.keys).orderBy(F.desc("batch"))
+        return spark.read.parquet(self.path).withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "batch")

@@ -93,9 +93,10 @@ def test_unknown_method(docs):
 
 def test_matching(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.7, 0.7]), (4, [0.0, 0.0])], "id long, v array<double>")
-    scores = matching.similarities(df, "id", "v", [("Technology", [1.0, 0.0]), ("Sports", [0.0, 2.0])])
-    assert {r.id: r.primary_topic for r in matching.match_one(scores, 0.9).collect()} == {1: "Technology", 2: "Sports", 3: "Unknown", 4: "Unknown"}
-    many = {r.id: (r.all_topics, r.all_scores) for r in matching.match_many(scores, 0.6, 2).collect()}
+    topics = [("Technology", [1.0, 0.0]), ("Sports", [0.0, 2.0])]
+    assert {(r.id, r.topic): r.score for r in matching.similarities(df, "id", "v", topics).collect()}[2, "Sports"] == 1.0
+    assert {r.id: r.primary_topic for r in matching.match_one(df, "id", "v", topics, 0.9).collect()} == {1: "Technology", 2: "Sports", 3: "Unknown", 4: "Unknown"}
+    many = {r.id: (r.all_topics, r.all_scores) for r in matching.match_many(df, "id", "v", topics, 0.6, 2).collect()}
     assert set(many[3][0]) == {"Technology", "Sports"} and many[4] == (["Unknown"], [0.0])
 
 
@@ -135,3 +136,45 @@ def test_tm_base_scores_every_document(spark, data):
 
     ids = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").where("text is not null").select("doc_id").collect()}
     assert ids <= {r.id for r in tm_base(spark, data).select("id").collect()}
+
+
+def test_ward_is_greedy_and_exact(blobs):
+    rng = np.random.default_rng(2)
+    x, n = rng.standard_normal((30, 3)), rng.integers(1, 5, 30).astype(float)
+    groups, c, w = [[i] for i in range(30)], list(x), list(n)
+    while len(groups) > 6:
+        cost = {(i, j): ((c[i] - c[j]) ** 2).sum() * w[i] * w[j] / (w[i] + w[j]) for i in range(len(c)) for j in range(i + 1, len(c))}
+        i, j = min(cost, key=cost.get)
+        c[i], w[i], groups[i] = (c[i] * w[i] + c[j] * w[j]) / (w[i] + w[j]), w[i] + w[j], groups[i] + groups[j]
+        del c[j], w[j], groups[j]
+    got = models.ward(x, n, 6)
+    assert sorted(map(sorted, groups)) == sorted(sorted(np.flatnonzero(got == g).tolist()) for g in range(6))
+    one, other = ({r.id: r.topic_id for r in models.fit_agglomerative(blobs, "id", "v", 3, 12, exact=e).collect()} for e in (2000, 10))
+    assert one == other
+
+
+def test_sparse_rows_are_the_columns_weights(docs):
+    weights, vocab = Z.fit_tfidf(docs, "doc_id", "text")
+    want = {}
+    for r in weights.collect():
+        want.setdefault(r.id, {})[r.idx] = r.weight
+    got = {r.id: dict(zip(np.frombuffer(r.idx, np.int32).tolist(), np.frombuffer(r.w, np.float32).tolist(), strict=True)) for r in Z.sparse_rows(docs, "doc_id", "text", vocab).collect()}
+    assert got.keys() == want.keys() and all(got[i].keys() == want[i].keys() and np.allclose([got[i][t] for t in want[i]], list(want[i].values()), atol=1e-6) for i in want)
+
+
+def test_halves(spark):
+    df = spark.createDataFrame([(1, [0.1, -2.5]), (2, None), (3, [])], "id long, v array<float>")
+    back = {r.id: r.embedding for r in Z.from_half(Z.to_half(df, "id", "v"), "id", "half").collect()}
+    assert np.allclose(back[1], [0.1, -2.5], rtol=2**-11) and back[2] is None and back[3] == []
+
+
+def test_lda_tells_its_perplexity(docs):
+    assert models.fit_lda(docs, "doc_id", "text", 3, 5).extra["perplexity"] > 0
+
+
+def test_review_choices(spark):
+    df = spark.createDataFrame([(i, [0.5 + i / 100, 0.5 - i / 100], [float(i % 2) * 9, float(i)]) for i in range(20)], "id long, p array<double>, v array<double>")
+    assert [r.reason for r in feedback.to_review(df, "id", 4).collect()] == ["random"] * 4
+    assert feedback.to_review(df, "id", 4).collect() == feedback.to_review(df.repartition(5), "id", 4).collect()
+    assert {r.reason for r in feedback.to_review(df, "id", 6, "p", "v").collect()} == {"uncertain", "diverse"}
+    assert [r.id for r in feedback.to_review(df, "id", 3, "p").collect()] == [0, 1, 2] and feedback.to_review(df, "id", 3, vec="v").count() == 3

@@ -1,10 +1,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmith import cli, config, dictionaries
-from corpusmith.operators import series
+from corpusmith.functions import text as T
+from corpusmith.operators import prepare, series
 from corpusmith.plans.pipeline import Workflow
+from corpusmith.session import shared_dir, spread
 from corpusmith.sources import readers, writers
 
 
@@ -84,3 +87,39 @@ def test_workflow(spark):
     assert "Policyholder" in flow.documents.where("doc_id = 1").first().text
     assert "<html" in flow.report()
     assert Workflow.start(docs).match({"Water": "water leak", "Cars": "car crash"}, 0.1).count() == 20
+
+
+def test_numbers_go_on_over_partitions(spark):
+    df = spark.range(0, 500, 1, 7).select((F.col("id") * 7919 % 500).alias("id"))
+    got = {r.id: r.doc_id for r in readers.with_ids(df, "id").collect()}
+    assert got == {i: f"doc_{i}" for i in range(500)}
+
+
+def test_rows_of_an_iterator(spark, tmp_path):
+    rows, path = [(i, f"t{i}") for i in range(25)], str(tmp_path / "it")
+    for _ in range(2):  # the second time the batches are there
+        assert {tuple(r) for r in readers.from_iterator(spark, iter(rows), "id long, t string", path, 10).select("id", "t").collect()} == set(rows)
+    assert readers.from_iterator(spark, iter([]), "id long, t string", path + "2").count() == 0
+
+
+def test_suggestions_lose_nothing(spark):
+    words = ["abc", "claim", "claims", "clam", "policy", "polcy", "x", "underwriting", "underwritng", "abcd"]
+    known = spark.createDataFrame([(w, w.upper()) for w in words[::-1]], "k string, v string")
+    asked = spark.createDataFrame([(w,) for w in [*words, None, "clai", "pol"]], "w string")
+    got = {(r.word, r.suggestion) for r in prepare.suggest(asked, "w", known, "k", "v", 60.0, 100).collect()}
+    every = asked.where("w is not null").crossJoin(known).withColumn("s", T.similarity(F.col("w"), F.col("k"))).where("s >= 60")
+    assert got == {(r.w, r.k) for r in every.collect()}
+
+
+def test_small_inputs_are_spread_without_a_job(spark):
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_missing_shared_folder_is_refused_on_a_cluster():
+    class Cluster:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    with pytest.raises(ValueError):
+        shared_dir(type("S", (), {"sparkContext": Cluster()})())
