@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmith.llm.shingles import WordHashes, hashed_words, windows
+from corpusmith.llm.shingles import hashed_words, windows
 
 
 def leaked_items(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, words: int = 10, shingle: int = 5, items_per_block: int = 20_000, chars_per_block: int = 20_000_000) -> DataFrame:
@@ -43,7 +43,7 @@ def leaked_items(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame
 
 
 def _search(spark, docs: DataFrame, asked: list, words: int, shingle: int, kind: str, item_kind: str) -> DataFrame:
-    lengths, hashes = hashed_words([r.t for r in asked], WordHashes())
+    lengths, hashes = hashed_words([r.t for r in asked])
     item, at, window = windows(lengths, hashes, words)
     result = f"id {kind}, item {item_kind}, windows bigint"
     if not len(item):
@@ -57,10 +57,10 @@ def _search(spark, docs: DataFrame, asked: list, words: int, shingle: int, kind:
     known = spark.sparkContext.broadcast(tokens)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = WordHashes(), np.zeros(len(known.value), np.int64)
+        total = np.zeros(len(known.value), np.int64)
         for b in batches:
             for s in range(0, b.num_rows, 1024):
-                _, _, h = windows(*hashed_words(b.column(0).slice(s, 1024).to_pylist(), cache), shingle)
+                _, _, h = windows(*hashed_words(b.column(0).slice(s, 1024).to_pylist()), shingle)
                 where = np.minimum(np.searchsorted(known.value, h), len(known.value) - 1)
                 total += np.bincount(where[known.value[where] == h], minlength=len(total))
         held = np.flatnonzero(total)
@@ -80,12 +80,11 @@ def _search(spark, docs: DataFrame, asked: list, words: int, shingle: int, kind:
     names = [r.item for r in asked]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         prefix, offset, content, owner = given.value
         for whole in batches:
             for s in range(0, whole.num_rows, 1024):
                 b = whole.slice(s, 1024)
-                lengths, hashes = hashed_words(b.column(1).to_pylist(), cache)
+                lengths, hashes = hashed_words(b.column(1).to_pylist())
                 doc, place, h = windows(lengths, hashes, shingle)
                 low = np.searchsorted(prefix, h, "left")
                 hit = low < len(prefix)

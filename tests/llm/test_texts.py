@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusmith.llm import leakage, mojibake, neardup, packing, pii, terms, topn
+from corpusmith.llm.shingles import hashed_words, words_of
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -135,7 +136,37 @@ def test_darts_fill_every_coordinate():
     doc, item = np.repeat(np.arange(64), 5), rng.integers(0, 1 << 62, 320).astype(np.uint64)
     full = neardup.throw(doc, item, np.zeros(320, bool), 65, 208)
     assert full[:64].all() and not full[64].any()
-    assert (neardup.throw(doc, item, np.zeros(320, bool), 65, 208, fill=3.0) == full).all()
+    alone = np.concatenate([neardup.throw(np.zeros(5, np.int64), item[i : i + 5], np.zeros(5, bool), 1, 208) for i in range(0, 320, 5)])
+    assert (alone == full[:64]).all()
+
+
+def test_dart_agreement_is_the_likeness():
+    rng = np.random.default_rng(4)
+    both, own = rng.integers(0, 1 << 62, (200, 40)).astype(np.uint64), rng.integers(0, 1 << 62, (2, 200, 20)).astype(np.uint64)
+    doc = np.repeat(np.arange(200), 60)
+    a, b = (neardup.throw(doc, np.concatenate([both, o], 1).ravel(), np.zeros(12000, bool), 200, 208) for o in own)
+    assert abs((a == b).mean() - 0.5) < 0.01
+
+
+def test_near_duplicates_of_long_texts(spark):
+    """Texts of 6,000 words, pairs of which share two thirds of their shingles."""
+    rng = random.Random(33)
+    rows = []
+    for i in range(30):
+        base = [f"w{rng.randrange(40000)}" for _ in range(6000)]
+        cut = rng.randrange(1000)
+        rows += [(f"a{i}", " ".join(base)), (f"b{i}", " ".join(base[: cut + 200] + [f"w{rng.randrange(40000)}" for _ in range(1200)] + base[cut + 1400 :]))]
+    found = neardup.near_duplicates(docs(spark, rows), "doc_id", "text", 0.5, 3, 12)
+    assert {(r.a, r.b) for r in found.links.collect()} == {(f"a{i}", f"b{i}") for i in range(30)}
+    assert all(0.6 < r.similarity < 0.7 for r in found.links.collect())
+
+
+def test_pairs_of_a_large_class_come_from_many_parts(spark):
+    names = [f"d{i:02d}" for i in range(37)]
+    found = neardup.NearDuplicates(spark.createDataFrame([(n, "d00") for n in names] + [(f"e{i}", "e0") for i in range(9)], "id string, class string"), spark.createDataFrame([("d00", "e0", 0.7)], "a string, b string, similarity double"))
+    pairs = [(r.a, r.b) for r in neardup.duplicate_pairs(found, block=5).collect()]
+    want = set(combinations(sorted([*names, *(f"e{i}" for i in range(9))]), 2))
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -277,3 +308,32 @@ def test_personal_details(spark):
     put = {r.doc_id: r.sanitised for r in pii.sanitise(df, "doc_id", "text", lexicon).collect()}
     assert put["a"] == "Witness lives at <ADDRESS> Yarradong 0826, seen on Baxlow Avenue." and put["n"] is None and put["x"] == dict(rows)["x"]
     assert pii.personal_details(docs(spark, []), "doc_id", "text", lexicon).count() == 0
+
+
+def test_lost_bytes_are_wildcards_in_the_lattice():
+    words = [("münchen", 5), ("mänchen", 2), ("mőnchen", 99), ("munchen", 500)]
+    lost = mojibake.LOST
+    assert mojibake.fill_lost(f"M{lost}nchen,", words) == "Mőnchen,"  # one mark for a character: the commonest word
+    assert mojibake.fill_lost(f"MÃ{lost}nchen,", words) == "München,"  # the first byte is left and rules the others out
+    assert mojibake.fill_lost(f"M{lost}¼nchen", words) == "München"  # the second byte is left
+    assert mojibake.fill_lost(f"M{lost}{lost}NCHEN!", words[:2]) == "MÜNCHEN!"  # a mark a byte
+    assert mojibake.fill_lost(f"r{lost}serv{lost}e", [("réservée", 3), ("réservee", 9)]) == "réservée"
+    assert mojibake.fill_lost(f"dÃ©clar{lost}", [("déclaré", 3), ("déclara", 9)]) == "déclaré"  # misread and lost in one word
+    assert mojibake.fill_lost(f"h{lost}", [("há", 90), ("hà", 2)]) == "há" and mojibake.fill_lost(f"h{lost}", [("há", 9), ("hà", 2)]) is None
+    assert mojibake.fill_lost(f"{lost}34", words) is None and mojibake.fill_lost(f"x{lost}y", []) is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.text("abZ 09é-\x00\n", max_size=60)), max_size=12))
+def test_words_are_hashed_as_they_are_read(texts):
+    lengths, hashes = hashed_words(texts)
+    words = [w for t in texts for w in words_of(t)]
+    assert lengths.tolist() == [len(words_of(t)) for t in texts] and len(hashes) == len(words)
+    assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+
+
+def test_equal_words_hash_alike_anywhere():
+    texts = ["x " * n + "claim" for n in range(50)] + ["claim " * 60_000, "CLAIM"]
+    lengths, hashes = hashed_words(texts)
+    ends = lengths.cumsum() - 1
+    assert len(set(hashes[ends].tolist())) == 1 and lengths[-2] == 60_000
