@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from corpusmith.session import materialise
 
 
-def one_per_id(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
+def one_per_id(df: DataFrame, id_col: str, *cols: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per non-null id with the given columns; of repeated rows the smallest by the columns' values.
 
-    The minimum is pre-aggregated before the shuffle, so a hot id costs one row per map task.
+    Which ids are repeated is counted first, on the ids alone; rows of other ids stay where they are, and only repeated ones are
+    shuffled (with a minimum per map task, so a hot id is no burden). Up to ``broadcast_rows`` repeated ids are sent to the rows, more are joined.
     """
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), *[F.col(c) for c in cols])
+    repeated = materialise(rows.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(id_col))
+    if repeated.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        repeated = F.broadcast(repeated)
     picked = F.min(F.struct(*[F.col(c) for c in cols])).alias("_r")
-    grouped = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col)).agg(picked)
-    return grouped.select(F.col(id_col), *[F.col(f"_r.{c}").alias(c) for c in cols])
+    again = rows.join(repeated, id_col, "left_semi").groupBy(id_col).agg(picked).select(id_col, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    return rows.join(repeated, id_col, "left_anti").unionByName(again)
 
 
 def vectors(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
