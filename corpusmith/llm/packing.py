@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,30 +15,27 @@ from corpusmith.session import materialise
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def load_tokenizer(path: str):
-    """A byte-pair encoding from a rank file; kept for the life of the process."""
+def load_tokenizer(ranks: bytes):
+    """A byte-pair encoding from the content of a rank file."""
     import tiktoken
 
-    loaded = tiktoken.__dict__.setdefault("loaded_rank_files", {})  # not in this module: its functions travel by value
-    if path not in loaded:
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value: how these rank files split text before merging
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        loaded[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return loaded[path]
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value: how these rank files split text before merging
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, tokens) of every row with an id and a text; the text is tokenised whole."""
+    """(id, tokens, hash) of every row with an id and a text; the text is tokenised whole. The rank file is read here and sent to the workers."""
+    given = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     kind = df.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_tokenizer(tokenizer).encode_ordinary
+        encode = load_tokenizer(given.value).encode_ordinary
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encode(t)) for t in b.column(1).to_pylist()], pa.int64())], ["id", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encode(t)) for t in b.column(1).to_pylist()], pa.int64()), b.column(2)], ["id", "tokens", "hash"])
 
-    some = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return some.mapInArrow(count, f"id {kind}, tokens bigint")
+    some = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("hash"))
+    return some.mapInArrow(count, f"id {kind}, tokens bigint, hash bigint")
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -111,14 +109,16 @@ def pack_sequences(df: DataFrame, id_col: str, text_col: str, capacity: int = 20
     kind = df.schema[id_col].dataType.simpleString()
     counted = materialise(token_counts(df, id_col, text_col, tokenizer).where("tokens > 0"))
     shards = max(1, -(-counted.count() // shard_items))
-    full = counted.where(F.col("tokens") >= capacity).select("id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("tokens") / capacity).cast("bigint") - 1)).alias("j"))
-    whole = full.select(F.concat(F.lit("full_"), F.col("id").cast("string"), F.lit("_"), F.col("j").cast("string")).alias("sequence"), F.lit(0).alias("position"), "id", (F.col("j") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("tokens"))
-    rest = counted.select("id", (F.col("tokens") - F.col("tokens") % capacity).alias("start"), (F.col("tokens") % capacity).alias("tokens")).where("tokens > 0")
-    # the salt keeps equal ids apart
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("id", "tokens", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    # rows that are the same in all are interchangeable and numbered, a thousand at a time; so the same rows are packed alike wherever they lie
+    alike = counted.groupBy("id", "hash", "tokens").agg(F.count("*").alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1000).cast("bigint"))).alias("k"))
+    items = alike.select("id", "hash", "tokens", F.explode(F.sequence(F.col("k") * 1000, F.least(F.col("n"), (F.col("k") + 1) * 1000) - 1)).alias("copy"))
+    full = items.where(F.col("tokens") >= capacity).select("id", "hash", "copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("tokens") / capacity).cast("bigint") - 1)).alias("j"))
+    whole = full.select(F.concat_ws("_", F.lit("full"), F.hex("hash"), "copy", "j").alias("sequence"), F.lit(0).alias("position"), "id", (F.col("j") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("tokens"))
+    rest = items.select("id", "hash", "copy", (F.col("tokens") - F.col("tokens") % capacity).alias("start"), (F.col("tokens") % capacity).alias("tokens")).where("tokens > 0")
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("hash", "copy"), F.lit(shards)).cast("int"))
 
     def pack(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("tokens", "descending"), ("id", "ascending")])
+        group = group.combine_chunks().sort_by([("tokens", "descending"), ("id", "ascending"), ("hash", "ascending"), ("copy", "ascending")])
         shard = group["shard"][0].as_py()
         bins = minimum_slack(group["tokens"].to_pylist(), capacity)
         at = [i for b in bins for i in b]

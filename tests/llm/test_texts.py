@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -224,13 +225,13 @@ def test_fullest_is_fullest(counts, room):
 
 
 def test_sequences(spark):
-    rows = [("a", "claim " * 700), ("a", "claim " * 3), ("b", "short note"), ("n", None), ("e", ""), (None, "x"), ("s", " ")]
+    rows = [("a", "claim " * 700), ("a", "claim " * 700), ("a", "claim " * 3), ("b", "short note"), ("n", None), ("e", ""), (None, "x"), ("s", " ")]
     got = packing.pack_sequences(docs(spark, rows), "doc_id", "text", capacity=100).collect()
     sizes = Counter()
     for r in got:
         sizes[r.sequence] += r.tokens
     assert max(sizes.values()) <= 100
-    enc = packing.load_tokenizer(packing.TOKENIZER)
+    enc = packing.load_tokenizer(Path(packing.TOKENIZER).read_bytes())
     want = Counter()
     for i, t in rows:
         if i and t:
@@ -337,3 +338,21 @@ def test_equal_words_hash_alike_anywhere():
     lengths, hashes = hashed_words(texts)
     ends = lengths.cumsum() - 1
     assert len(set(hashes[ends].tolist())) == 1 and lengths[-2] == 60_000
+
+
+def test_packing_leaves_little_room_over_many_shards(spark, monkeypatch):
+    """60,000 texts in three shards: at least 99 % of the sequences' room is used, alike on every partitioning."""
+    rng = random.Random(12)
+    sizes = [min(int(rng.lognormvariate(5.5, 1.1)) + 1, 9000) for _ in range(60_000)]
+    held = spark.createDataFrame([(f"d{i}", n, i) for i, n in enumerate(sizes)], "id string, tokens bigint, hash bigint")
+    monkeypatch.setattr(packing, "token_counts", lambda df, *_: df)
+    packed = [packing.pack_sequences(df, "id", "text") for df in (held, held.repartition(11))]
+    used = packed[0].groupBy("sequence").sum("tokens").toPandas()["sum(tokens)"]
+    assert used.max() <= 2048 and used.sum() == sum(sizes) and used.sum() / (2048 * len(used)) > 0.99
+    assert packed[0].exceptAll(packed[1]).count() == 0
+
+
+def test_repeated_rows_are_packed_each(spark):
+    rows = [("a", "claim " * 30)] * 2500 + [("b", "water " * 9)] * 3
+    got = packing.pack_sequences(docs(spark, rows), "doc_id", "text", capacity=64, shard_items=500).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {"a": 2500, "b": 3}
