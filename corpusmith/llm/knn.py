@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from corpusmith.llm.cells import fit_cells
+from corpusmith.llm.cells import Cells, fit_cells
 from corpusmith.llm.common import pack, unit, unpack
 from corpusmith.llm.vectors import vector_table
 from corpusmith.session import materialise
@@ -156,11 +156,12 @@ def most_similar(
         return spark.createDataFrame([], f"{id_col} {kind}, neighbour {kind}, cosine double, rank int")
     cells, sizes = fit_cells(table.rows, table.n, dim, cell_rows, seed)
     first, parts = cells.blocks(sizes, block)
-    given, turn = spark.sparkContext.broadcast((cells, first, parts)), rotation(dim, bits, seed)
+    given, turn = spark.sparkContext.broadcast((cells.tops, cells.leaves, cells.start, first, parts)), rotation(dim, bits, seed)
     owner = np.repeat(np.arange(len(parts)), parts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, first, parts = given.value
+        *found, first, parts = given.value
+        cells = Cells(*found)
         for b in batches:
             if b.num_rows:
                 at, border = cells.place(unit(unpack(b.column(2), dim)).astype(np.float32), probes)
@@ -179,11 +180,11 @@ def most_similar(
         return np.unique(group["id"].to_numpy(zero_copy_only=False), return_index=True)
 
     def center_of(part: int) -> np.ndarray:
-        return given.value[0].leaves[owner[part]]
+        return given.value[1][owner[part]]
 
     def home(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        _, first, parts = given.value
+        *_, first, parts = given.value
         part, (names, at) = group["part"][0].as_py(), ordered(group)
         raw = unpack(group["v"], dim)[at]
         data, center = unit(raw), center_of(part)
