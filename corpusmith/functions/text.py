@@ -21,6 +21,10 @@ NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twe
 IRREGULAR = {"was": "be", "were": "be", "is": "be", "are": "be", "been": "be", "has": "have", "had": "have", "did": "do", "went": "go", "gone": "go", "men": "man", "women": "woman", "children": "child", "feet": "foot", "said": "say", "found": "find", "held": "hold", "left": "leave", "moved": "move", "drove": "drive"}
 
 
+# fixed values: consonants that English doubles before -ing and -ed
+DOUBLED = "(bb|dd|gg|mm|nn|pp|rr|tt)"
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -46,10 +50,12 @@ def number_like(word: Column) -> Column:
 
 
 def lemma(word: Column) -> Column:
-    """A small table of irregular forms, then suffix rules; other words stay as they are."""
+    """A small table of irregular forms, then suffix rules (running, planned: run, plan); other words stay as they are."""
     rules = (
         F.when(word.rlike("[a-z]{2}ies$"), F.regexp_replace(word, "ies$", "y"))
         .when(word.rlike("(sses|shes|ches|xes)$"), F.regexp_replace(word, "es$", ""))
+        .when(word.rlike(f"[a-z]{{2}}{DOUBLED}ing$"), F.regexp_replace(word, "[a-z]ing$", ""))
+        .when(word.rlike(f"[a-z]{{2}}{DOUBLED}ed$"), F.regexp_replace(word, "[a-z]ed$", ""))
         .when(word.rlike("[a-z]{3}ing$"), F.regexp_replace(word, "ing$", ""))
         .when(word.rlike("[a-z]{3}ed$"), F.regexp_replace(word, "ed$", ""))
         .when(word.rlike("[a-z]{2}[^su]s$"), F.regexp_replace(word, "s$", ""))

@@ -849,6 +849,42 @@ def merge_smallest(centers: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray
     return out
 
 
+def hierarchy(spark: SparkSession, centers: np.ndarray, sizes: np.ndarray) -> DataFrame:
+    """(step, left, right, merged, distance, size): topics merged two by two, the nearest by cosine first, to a single one.
+
+    Topics keep their numbers; the n-th merge makes topic k - 1 + n. Vectors are averaged by size; the topics are as many as the model has.
+    """
+    names, c, n, out = list(range(len(centers))), [np.asarray(x, float) for x in centers], [int(s) for s in sizes], []
+    while len(names) > 1:
+        u = np.stack(c) / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        d = 1 - u @ u.T
+        d[np.tril_indices(len(d))] = np.inf
+        i, j = np.unravel_index(d.argmin(), d.shape)
+        merged = len(centers) + len(out)
+        out.append((len(out) + 1, names[i], names[j], merged, float(max(d[i, j], 0.0)), n[i] + n[j]))
+        c[i], n[i], names[i] = (c[i] * n[i] + c[j] * n[j]) / (n[i] + n[j]), n[i] + n[j], merged
+        del c[j], n[j], names[j]
+    return spark.createDataFrame(out, "step int, left int, right int, merged int, distance double, size long")
+
+
+def update(model: TopicModel, docs: DataFrame, id_col: str, text: str, encoder: Z.Encoder | None = None) -> TopicModel:
+    """A model of topic vectors with further documents: each goes to its nearest topic, and the topics' vectors move by the documents they gain.
+
+    Documents that the model holds already are left out; the words stay as they were fitted.
+    """
+    if model.centers is None:
+        raise ValueError(f"{model.method} has no topic vectors")
+    new = docs.join(model.assigned.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    vectors = materialise(Z.embed(new, id_col, text, encoder))
+    total, count = nearest_sums(vectors, "embedding", model.centers)
+    sizes = {r.topic_id: r["count"] for r in model.assigned.where("topic_id >= 0").groupBy("topic_id").count().collect()}
+    held = np.array([sizes.get(i, 0) for i in range(len(model.centers))], float)
+    centers = (model.centers * held[:, None] + total) / np.maximum(held + count, 1)[:, None]
+    centers[held + count == 0] = model.centers[held + count == 0]
+    more = assign_to_centers(vectors, id_col, "embedding", model.centers).select("id", "topic_id", "probability")
+    return TopicModel(model.method, materialise(model.assigned.select("id", "topic_id", "probability").unionByName(more)), model.words, centers, model.vocab, model.components, model.extra)
+
+
 def discover(docs: DataFrame, id_col: str, text: str, method: str = "tfidf", num_topics: int = 10, seed: int = 42, **options) -> TopicModel:
     """One door to all models."""
     if method in ("simple_kmeans", "embedding_cluster"):

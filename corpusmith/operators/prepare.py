@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,20 @@ def expand_acronyms(text: Column, expansions: dict[str, str], compat: bool = Fal
     return F.aggregate(T.acronyms(text), T.text_or_empty(text), lambda acc, a: F.when(F.map_contains_key(mapping, a), F.replace(acc, a, F.try_element_at(mapping, a))).otherwise(acc))
 
 
+def expand_texts(df: DataFrame, text: str, expansions: dict[str, str], literals: int = 1000) -> DataFrame:
+    """``df`` with the acronyms of its texts expanded as ``expand_acronyms`` does: a literal map of up to ``literals`` entries in the plan, more as a broadcast."""
+    if len(expansions) <= literals:
+        return df.withColumn(text, expand_acronyms(F.col(text), expansions))
+    given = df.sparkSession.sparkContext.broadcast(dict(expansions))
+
+    def expand(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        token, known = re.compile(r"[\w&]+"), given.value
+        for b in batches:
+            yield b.map(lambda t: token.sub(lambda m: f"{m[0]} ({known[m[0]]})" if m[0] in known else m[0], t or ""))
+
+    return df.withColumn(text, F.pandas_udf(expand, "string")(F.col(text)))
+
+
 def suggest(words: DataFrame, word: str, known: DataFrame, key: str, value: str, min_score: float = 60.0, limit: int = 5) -> DataFrame:
     """(word, suggestion, value, score, rank): the nearest known keys of each word.
 

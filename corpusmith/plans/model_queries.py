@@ -142,6 +142,22 @@ for _name, _method, _options in (("tm_simple", "simple_kmeans", {}), ("tm_tfidf"
         return _model(spark, d, method, **options).info()
 
 
+@query("tm_hierarchy", "with k as (select count(distinct source) as k from documents where source is not null), n as (select count(*) as n from documents where source is not null) select cast(k - 1 as bigint) as merges, n as documents, true as grows from k, n")
+def tm_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """The sources' mean vectors merged two by two: one merge less than topics, all documents in the last."""
+    docs = _docs(spark, d).where("source is not null")
+    means = V.mean_vectors(Z.embed(docs, "doc_id", "text", keep=("source",)), "source", "embedding").orderBy("group").collect()  # one vector a topic
+    merged = models.hierarchy(spark, np.array([r.v for r in means]), np.array([r.n for r in means]))
+    return merged.agg(F.count("*").alias("merges"), F.max("size").alias("documents"), F.every(F.col("merged") > F.greatest("left", "right")).alias("grows"))
+
+
+@query("tm_update", "select doc_id as id, true as known from documents")
+def tm_update(spark: SparkSession, d: str) -> DataFrame:
+    """A model of the English documents that takes in all others: every document ends up with one topic."""
+    model = models.discover(_docs(spark, d).where("lang = 'en'"), "doc_id", "text", "simple_kmeans", 6)
+    return models.update(model, _docs(spark, d), "doc_id", "text").assigned.select("id", F.col("topic_id").between(0, 5).alias("known"))
+
+
 @query("tm_doc_info")
 def tm_doc_info(spark: SparkSession, d: str) -> DataFrame:
     return _model(spark, d, "tfidf", num_topics=5).document_info(_docs(spark, d), "doc_id", "text")

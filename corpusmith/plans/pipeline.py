@@ -38,7 +38,7 @@ class Workflow:
 
     def expand_acronyms(self, mapping: dict[str, str] | None = None) -> Workflow:
         mapping = mapping if mapping is not None else dict(self.config.acronyms.mappings)
-        return self if not mapping else self._next("expand_acronyms", self.documents.withColumn(self.spec.text, prepare.expand_acronyms(F.col(self.spec.text), mapping)))
+        return self if not mapping else self._next("expand_acronyms", prepare.expand_texts(self.documents, self.spec.text, mapping))
 
     def correct_spelling(self, corrections: dict[str, str] | None = None) -> Workflow:
         corrections = corrections if corrections is not None else dict(self.config.spelling.corrections)

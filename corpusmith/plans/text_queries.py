@@ -19,6 +19,7 @@ def _lemma_sql(w: str) -> str:
     irregular = " ".join(f"when {w} = '{k}' then '{v}'" for k, v in T.IRREGULAR.items())
     return (
         f"case {irregular} when regexp_matches({w}, '[a-z]{{2}}ies$') then regexp_replace({w}, 'ies$', 'y') when regexp_matches({w}, '(sses|shes|ches|xes)$') then regexp_replace({w}, 'es$', '') "
+        f"when regexp_matches({w}, '[a-z]{{2}}{T.DOUBLED}ing$') then regexp_replace({w}, '[a-z]ing$', '') when regexp_matches({w}, '[a-z]{{2}}{T.DOUBLED}ed$') then regexp_replace({w}, '[a-z]ed$', '') "
         f"when regexp_matches({w}, '[a-z]{{3}}ing$') then regexp_replace({w}, 'ing$', '') when regexp_matches({w}, '[a-z]{{3}}ed$') then regexp_replace({w}, 'ed$', '') when regexp_matches({w}, '[a-z]{{2}}[^su]s$') then regexp_replace({w}, 's$', '') else {w} end"
     )
 

@@ -178,3 +178,12 @@ def test_review_choices(spark):
     assert feedback.to_review(df, "id", 4).collect() == feedback.to_review(df.repartition(5), "id", 4).collect()
     assert {r.reason for r in feedback.to_review(df, "id", 6, "p", "v").collect()} == {"uncertain", "diverse"}
     assert [r.id for r in feedback.to_review(df, "id", 3, "p").collect()] == [0, 1, 2] and feedback.to_review(df, "id", 3, vec="v").count() == 3
+
+
+def test_hierarchy_and_update(spark, docs):
+    steps = models.hierarchy(spark, np.array([[1.0, 0], [0.9, 0.1], [0, 1.0]]), np.array([5, 1, 4])).orderBy("step").collect()
+    assert [(r.left, r.right, r.merged, r.size) for r in steps] == [(0, 1, 3, 6), (3, 2, 4, 10)] and steps[0].distance < steps[1].distance
+    model = models.discover(docs.where("doc_id < 60"), "doc_id", "text", "simple_kmeans", 3)
+    new = models.update(model, docs, "doc_id", "text")
+    assert agree([(r.id % 3, r.topic_id) for r in new.assigned.collect()]) and new.assigned.count() == 90
+    assert not np.allclose(new.centers, model.centers) and np.abs(new.centers - model.centers).max() < 0.5

@@ -59,3 +59,16 @@ def test_normalized_is_clean(spark, texts):
     for r in rows:
         assert r.x == r.x.lower() or any(ord(c) > 127 for c in r.x)
         assert not set(r.x) & set(".,;:!?\"'()")
+
+
+def test_many_acronyms_are_sent_and_few_stand_in_the_plan(spark):
+    known = {f"A{i}": f"word {i}" for i in range(1200)} | {"P&L": "Profit and Loss"}
+    df = spark.createDataFrame([(1, "A7 for A77, A7x and P&L (A1199)."), (2, None), (3, "")], "id long, t string")
+    few = {k: known[k] for k in ("A7", "A77", "P&L", "A1199")}
+    got = [{r.id: r.t for r in prepare.expand_texts(df, "t", m).collect()} for m in (known, few)]
+    assert got[0] == got[1] and got[0][1] == "A7 (word 7) for A77 (word 77), A7x and P&L (Profit and Loss) (A1199 (word 1199))."
+
+
+def test_doubled_consonants(spark):
+    for word, base in (("running", "run"), ("planned", "plan"), ("adding", "add"), ("falling", "fall"), ("missed", "miss"), ("towing", "tow")):
+        assert one(spark, word, T.lemma(F.col("t"))) == base
