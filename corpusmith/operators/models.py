@@ -149,6 +149,12 @@ class TopicModel:
             docs, vec = Z.embed(docs, id_col, text), "embedding"
         return assign_to_centers(docs, id_col, vec, self.centers)
 
+    def perplexity(self, docs: DataFrame, id_col: str, text: str) -> float:
+        """The upper bound of the log perplexity a word of documents under an LDA model; a pass over them, so not part of the fit."""
+        if "lda" not in self.extra:
+            raise ValueError(f"{self.method} has no perplexity")
+        return float(self.extra["lda"].logPerplexity(self.extra["counter"].transform(_lda_words(docs, id_col, text))))
+
     def similar(self, query: list[float], n: int = 5) -> DataFrame:
         """(topic, score): topics by dot product of the query with the topic's centre."""
         scores = sorted(((float(np.dot(query, c)), i) for i, c in enumerate(self.centers)), key=lambda x: (-x[0], x[1]))[:n]
@@ -258,7 +264,7 @@ def fit_tfidf_kmeans(docs: DataFrame, id_col: str, text: str, k: int = 10, max_f
 
 
 def sparse_kmeans(rows: DataFrame, size: int, k: int, seed: int = 42, iterations: int = 15, sample: int = 4096, tol: float = 1e-4) -> np.ndarray:
-    """Centres of sparse rows: k-means++ over a sample of at most about ``sample`` rows, then distributed Lloyd steps.
+    """Centres of sparse rows: k-means++ and first steps over a sample of at most about ``sample`` rows, then distributed Lloyd steps.
 
     Rows are made dense a thousand at a time inside the workers; each step adds up k x V sums, first a partition at a time.
     """
@@ -272,6 +278,17 @@ def sparse_kmeans(rows: DataFrame, size: int, k: int, seed: int = 42, iterations
         at.append(int(rng.choice(len(x), p=d / d.sum())))
         d = np.minimum(d, ((x - x[at[-1]]) ** 2).sum(1))
     centers = x[at].copy()
+    for _ in range(iterations):  # steps over the sample alone bring the centres near, so that few are left for all rows
+        near = _distances(x, centers).argmin(1)
+        one = np.zeros((len(centers), len(x)), np.float32)
+        one[near, np.arange(len(x))] = 1
+        held = one.any(1)
+        moved = centers.copy()
+        moved[held] = (one @ x)[held] / one.sum(1)[held, None]
+        shift = float(((moved - centers) ** 2).sum())
+        centers = moved
+        if shift < tol:
+            break
     previous = np.inf
     for _ in range(iterations):
         total, count, cost = _center_sums(rows, centers)
@@ -464,19 +481,22 @@ def _gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     return np.array([got[i] for i in range(width)]).T
 
 
+def _lda_words(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.filter(T.words(F.col(text)), lambda w: ~w.isin(T.STOP_WORDS)).alias("words"))
+
+
 def fit_lda(docs: DataFrame, id_col: str, text: str, k: int = 10, iterations: int = 20, vocab_size: int = 5000, min_df: float = 2, max_df: float = 0.9, seed: int = 42) -> TopicModel:
-    """Online variational LDA; (id, topic_id, probability, distribution) with the largest share first; ``extra`` holds the log perplexity a word."""
-    words = docs.select(F.col(id_col).alias("id"), F.filter(T.words(F.col(text)), lambda w: ~w.isin(T.STOP_WORDS)).alias("words"))
+    """Online variational LDA; (id, topic_id, probability, distribution) with the largest share first."""
+    words = _lda_words(docs, id_col, text)
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab_size, minDF=min_df, maxDF=max_df).fit(words)
     data = counter.transform(words).persist()
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", optimizeDocConcentration=True).fit(data)
     spread = model.transform(data).select("id", vector_to_array("topicDistribution").alias("distribution"))
     best = F.array_max(F.transform("distribution", lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
     assigned = materialise(spread.select("id", (-best["i"]).cast("int").alias("topic_id"), best["p"].alias("probability"), "distribution"))
-    perplexity = float(model.logPerplexity(data))
     data.unpersist()
     rows = [(r.topic, counter.vocabulary[t], float(w), i + 1) for r in model.describeTopics(20).collect() for i, (t, w) in enumerate(zip(r.termIndices, r.termWeights, strict=True))]
-    return TopicModel("lda", assigned, docs.sparkSession.createDataFrame(rows, "topic int, term string, weight double, rank int"), extra={"perplexity": perplexity})
+    return TopicModel("lda", assigned, docs.sparkSession.createDataFrame(rows, "topic int, term string, weight double, rank int"), extra={"lda": model, "counter": counter})
 
 
 def topic_counts(assigned: DataFrame, spread: str, least: float = 0.2, compat: bool = False) -> DataFrame:

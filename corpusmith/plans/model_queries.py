@@ -142,6 +142,14 @@ for _name, _method, _options in (("tm_simple", "simple_kmeans", {}), ("tm_tfidf"
         return _model(spark, d, method, **options).info()
 
 
+@query("tm_lda_perplexity", "select true as better_than_chance")
+def tm_lda_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    """The log perplexity of the fitted documents lies under that of drawing from all words alike."""
+    model = _model(spark, d, "lda", num_topics=5)
+    bound = model.perplexity(_docs(spark, d), "doc_id", "text")
+    return spark.createDataFrame([(0 < bound < float(np.log(len(model.extra["counter"].vocabulary))),)], "better_than_chance boolean")
+
+
 @query("tm_hierarchy", "with k as (select count(distinct source) as k from documents where source is not null), n as (select count(*) as n from documents where source is not null) select cast(k - 1 as bigint) as merges, n as documents, true as grows from k, n")
 def tm_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """The sources' mean vectors merged two by two: one merge less than topics, all documents in the last."""

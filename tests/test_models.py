@@ -169,7 +169,9 @@ def test_halves(spark):
 
 
 def test_lda_tells_its_perplexity(docs):
-    assert models.fit_lda(docs, "doc_id", "text", 3, 5).extra["perplexity"] > 0
+    assert models.fit_lda(docs, "doc_id", "text", 3, 5).perplexity(docs, "doc_id", "text") > 0
+    with pytest.raises(ValueError):
+        models.discover(docs, "doc_id", "text", "tfidf", 3).perplexity(docs, "doc_id", "text")
 
 
 def test_review_choices(spark):
