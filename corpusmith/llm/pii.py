@@ -20,7 +20,9 @@ UNITS = "unit|flat|apt|apartment|suite|shop|lot|level|villa|townhouse"
 
 EMAIL = re.compile(r"(?<![\w.+-])[\w][\w.+'-]*\s?(?:@|\[at\]|\(at\)|\{at\})\s?[\w-]+(?:(?:\.|\s?[\[({]dot[\])}]\s?|\sdot\s)[\w-]+)+", re.I)
 PHONE = re.compile(r"(?<![\w$#/.+-])(?:\+\d{1,3}[ .-]?(?:\(0?\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}|\(0\d{1,4}\)[ .-]?\d(?:[ .-]?\d){5,8}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|0\d(?:[ .-]?\d){8,9}|(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w/]|[.-]\d)")
-_OTHER_NUMBER = re.compile(r"(?:claim|policy|invoice|job|file|ref|reference|order|docket|medicare|tfn|tax file|licen[cs]e|passport|dl)\s*(?:card|number|no\.?|num|is|#|:|\s)*$", re.I)
+#: runs of six digits and more, whatever they stand for, and the forms that are telephone numbers beyond doubt
+_NUMBER = re.compile(r"(?<![\w.,/$#-])[+(]?\d(?:[ .()-]{0,2}\d){5,}(?!\w)")
+_SURE_PHONE = re.compile(r"\+|\(0|04\d\d|1[38]00")
 IDENTITY = re.compile(
     r"(?<!\w)(?:tax\s+file|tfn|medicare|driver(?:['’]?s)?\s+licen[cs]e|driving\s+licen[cs]e|licen[cs]e|dl(?=\s*[#:.]|\s+n)|passport)(?:\s*(?:\b(?:card|number|num|no|nr|is)\b\.?|[#:.])){0,4}\s*([A-Z]{0,3}\d(?:[ -]?\d){4,11}[A-Z]?)(?!\w|[/.]\d|-\d)", re.I
 )
@@ -71,6 +73,12 @@ def _right(text: str, at: int, fold: bool) -> str:
     return out.lower() if fold else out
 
 
+def _beside(text: str, at: int) -> str:
+    """The word before a number, without case, signs and digits."""
+    words = text[max(0, at - 30) : at].split()
+    return _DIGITS.sub("#", words[-1]).lower().strip(".,;:") if words else "^"
+
+
 class Span:
     """A possible name; what surrounds it is looked at when asked for."""
 
@@ -137,6 +145,11 @@ class Evidence:
             return bits
         return bits + b.get(("L", s.left), -0.5) + b.get(("R", s.right), -0.5)
 
+    def phone(self, text: str, at: int) -> float:
+        """Bits for a telephone number: its form, and how strongly the word before it goes with numbers that are one beyond doubt."""
+        form = 8.0 if _SURE_PHONE.match(text, at) else 5.0
+        return form + max(-6.0, min(2.0, self.bits.get(("P", _beside(text, at)), 0.0)))
+
 
 _SMALL_START = re.compile(r"(?:\A|[.!?]\s)(?=[a-zà-öø-ÿ][^\W\d_]+ )")
 _STREET_NEXT = re.compile(rf" (?:{STREETS})(?![\w’'-])", re.I)
@@ -163,7 +176,7 @@ def find_details(text: str, evidence: Evidence, least: float = 4.0) -> list[tupl
             if free(m.start(1), m.end(1)):
                 out.append((m.start(1), m.end(1), "identity", re.sub("[^A-Z0-9]", "", m.group(1).upper())))
         for m in PHONE.finditer(text):
-            if free(m.start(), m.end()) and not _OTHER_NUMBER.search(text, max(0, m.start() - 30), m.start()):
+            if free(m.start(), m.end()) and evidence.phone(text, m.start()) >= least:
                 out.append((m.start(), m.end(), "phone", re.sub(r"\D", "", m.group())))
         for m in ADDRESS.finditer(text):
             unit = _UNIT_BEFORE.search(text, max(0, m.start() - 30), m.start())
@@ -204,10 +217,10 @@ def _cued(text: str, evidence: Evidence) -> Iterable[Span]:
 
 
 def learn_evidence(df: DataFrame, text_col: str, lexicon: DataFrame, name_col: str = "name", kind_col: str = "kind", share: float = 1e-4, max_lexicon: int = 1_000_000) -> Evidence:
-    """Pointwise mutual information of surroundings and words with person names, counted over the whole corpus.
+    """Pointwise mutual information of surroundings and words with person names and telephone numbers, counted over the whole corpus.
 
-    Sure names (behind a title, or a known given name before a known family name) against all name-shaped spans, for the two words on either
-    side and for the words themselves. A feature counts from a ``share`` of all spans, so at most 4 / ``share`` features
+    Sure telephone numbers (by their form) against all numbers of six digits and more, for the word before them; sure names (behind a title, or a known given name before a known family name) against all name-shaped spans, for the two words on either
+    side and for the words themselves. A feature counts from a ``share`` of all spans, so at most 5 / ``share`` features
     reach the driver. The lexicon is a small reference table; past ``max_lexicon`` rows it is refused.
     """
     rows = lexicon.where(F.col(name_col).isNotNull()).select(F.lower(name_col).alias("n"), F.col(kind_col).alias("k")).distinct().limit(max_lexicon + 1).collect()
@@ -223,6 +236,12 @@ def learn_evidence(df: DataFrame, text_col: str, lexicon: DataFrame, name_col: s
         for b in batches:
             for text in b.column(0).to_pylist():
                 if text and not text.isupper():
+                    for m in _NUMBER.finditer(text):
+                        keys = (("P", _beside(text, m.start())), ("M", ""))
+                        for key in keys:
+                            every[key] += 1
+                        if _SURE_PHONE.match(m.group()):
+                            sure.update(keys)
                     for s in _pairs(text):
                         keys = (("L", s.left), ("R", s.right), ("F", s.given), ("E", s.last), ("N", ""))
                         for key in keys:
@@ -237,13 +256,14 @@ def learn_evidence(df: DataFrame, text_col: str, lexicon: DataFrame, name_col: s
 
     counted = df.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(tally, "kind string, key string, every bigint, sure bigint")
     summed = counted.groupBy("kind", "key").agg(F.sum("every").alias("every"), F.sum("sure").alias("sure")).persist()
-    total = summed.where("kind = 'N'").first()
-    if total is None or not total.sure:
-        summed.unpersist()
-        return Evidence(given, family, {})
-    rate, bits = total.sure / total.every, {}
-    for r in summed.where(F.col("every") >= max(2.0, share * total.every)).collect():
-        bits[r.kind, r.key] = math.log2((r.sure + 0.5 * rate) / (r.every + 0.5) / rate)
+    bits: dict[tuple[str, str], float] = {}
+    for whole, kinds in (("N", "LRFE"), ("M", "P")):  # of all name-shaped spans, of all long numbers
+        total = summed.where(F.col("kind") == whole).first()
+        if total is None or not total.sure:
+            continue
+        rate = total.sure / total.every
+        for r in summed.where(F.col("kind").isin(*kinds) & (F.col("every") >= max(2.0, share * total.every))).collect():
+            bits[r.kind, r.key] = math.log2((r.sure + 0.5 * rate) / (r.every + 0.5) / rate)
     summed.unpersist()
     return Evidence(given, family, bits)
 
@@ -259,8 +279,9 @@ def sanitise(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, leas
     ``details`` are the distinct (kind, found) of the row. Null texts stay null and hold no details; null ids are kept;
     repeated rows give repeated rows; extra columns are ignored; an empty table gives no rows. Texts are read whole.
 
-    Addresses, numbers and mail are patterns with their cue words. A name-shaped span is removed if what surrounds it, a
-    title and the lexicon together disclose a person by at least ``least`` bits, as estimated by corpus co-occurrence.
+    A name-shaped span is removed if what surrounds it, a title and the lexicon together disclose a person by at least ``least``
+    bits, as estimated by corpus co-occurrence; a number if its form and the word before it disclose a telephone. Mail, identity
+    numbers and addresses are patterns with their cue words: their form alone discloses them.
     """
     learnt = learn_evidence(df, text_col, lexicon)
     given = df.sparkSession.sparkContext.broadcast((learnt.given, learnt.family, learnt.bits))

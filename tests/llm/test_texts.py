@@ -356,3 +356,13 @@ def test_repeated_rows_are_packed_each(spark):
     rows = [("a", "claim " * 30)] * 2500 + [("b", "water " * 9)] * 3
     got = packing.pack_sequences(docs(spark, rows), "doc_id", "text", capacity=64, shard_items=500).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in got} == {"a": 2500, "b": 3}
+
+
+def test_words_before_numbers_tell_telephones_from_others(spark):
+    """The same form of number is one or isn't by what the corpus puts beside it."""
+    lexicon = spark.createDataFrame([("Rhea", "given")], "name string, kind string")
+    rows = [(f"d{i:02d}", f"Docket 555 {100 + i} 4567 was closed.") for i in range(40)] + [(f"s{i:02d}", f"Please call 0412 345 {100 + i} today.") for i in range(40)] + [(f"w{i:02d}", f"Please call 555 {100 + i} 9876 today.") for i in range(40)]
+    got = {r.doc_id[0]: r.kind for r in pii.personal_details(docs(spark, rows), "doc_id", "text", lexicon).collect()}
+    assert got == {"s": "phone", "w": "phone"}
+    alone = pii.personal_details(docs(spark, rows[-1:]), "doc_id", "text", lexicon).collect()
+    assert [(r.kind, r.found) for r in alone] == [("phone", "5551399876")]  # without evidence the form decides
