@@ -19,9 +19,10 @@ MONTHS = "jan|january|feb|february|mar|march|apr|april|may|jun|june|jul|july|aug
 UNITS = "unit|flat|apt|apartment|suite|shop|lot|level|villa|townhouse"
 
 EMAIL = re.compile(r"(?<![\w.+-])[\w][\w.+'-]*\s?(?:@|\[at\]|\(at\)|\{at\})\s?[\w-]+(?:(?:\.|\s?[\[({]dot[\])}]\s?|\sdot\s)[\w-]+)+", re.I)
-PHONE = re.compile(r"(?<![\w$#/.+-])(?:\+\d{1,3}[ .-]?(?:\(0?\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}|\(0\d{1,4}\)[ .-]?\d(?:[ .-]?\d){5,8}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|0\d(?:[ .-]?\d){8,9}|(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w/]|[.-]\d)")
+# patterns of numbers begin with one plain class of characters, which the engine finds fast, and look back at it
+PHONE = re.compile(r"[+(\d](?<![\w$#/.+-].)(?:(?<=\+)\d{1,3}[ .-]?(?:\(0?\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}|(?<=\()0\d{1,4}\)[ .-]?\d(?:[ .-]?\d){5,8}|(?<=\()\d{3}\)[ .-]?\d{3}[ .-]\d{4}|(?<=0)\d(?:[ .-]?\d){8,9}|(?<=1)[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}|(?<=\d)\d\d[ .-]\d{3}[ .-]\d{4})(?![\w/]|[.-]\d)")
 #: runs of six digits and more, whatever they stand for, and the forms that are telephone numbers beyond doubt
-_NUMBER = re.compile(r"(?<![\w.,/$#-])[+(]?\d(?:[ .()-]{0,2}\d){5,}(?!\w)")
+_NUMBER = re.compile(r"[+(\d](?<![\w.,/$#-].)(?:(?<=[+(])\d)?(?<=\d)(?:[ .()-]{0,2}\d){5,}(?!\w)")
 _SURE_PHONE = re.compile(r"\+|\(0|04\d\d|1[38]00")
 IDENTITY = re.compile(
     r"(?<!\w)(?:tax\s+file|tfn|medicare|driver(?:['’]?s)?\s+licen[cs]e|driving\s+licen[cs]e|licen[cs]e|dl(?=\s*[#:.]|\s+n)|passport)(?:\s*(?:\b(?:card|number|num|no|nr|is)\b\.?|[#:.])){0,4}\s*([A-Z]{0,3}\d(?:[ -]?\d){4,11}[A-Z]?)(?!\w|[/.]\d|-\d)", re.I
@@ -42,12 +43,13 @@ _ANY = re.compile(rf"(?:(?P<family>{_T}), (?P<given>{_T})|(?P<first>{_T}|[^\W\d_
 _TITLE_WORDS = set(TITLES.lower().split("|"))
 _TITLE_AT = re.compile(rf"(?:{TITLES})(?<![\w’'-](?:Mr|Ms|Mx|Dr))\.? (?=[a-zà-öø-ÿ])")
 _TITLE_END = re.compile(rf"(?:^|(?<![\w’'-]))(?:{TITLES})\.? $", re.I)
+_TITLE_LAST = frozenset(".rsxfRSXF")
 _DIGITS, _MARKED = re.compile(r"\d+"), re.compile(r"[\d#.,:-]+")
 
 
 def _left(text: str, at: int, fold: bool) -> str:
     """The two words before a place, a sentence's beginning as ^."""
-    words = text[max(0, at - 40) : at].split()
+    words = text[max(0, at - 40) : at].rsplit(None, 2)
     if not words:
         return "^"
     b = words[-1]
@@ -56,7 +58,9 @@ def _left(text: str, at: int, fold: bool) -> str:
     a = words[-2] if len(words) > 1 else "^"
     if a[-1] in ".!?":
         a = "^"
-    out = _DIGITS.sub("#", f"{a} {b}")
+    out = f"{a} {b}"
+    if not (a.isalpha() and b.isalpha()):
+        out = _DIGITS.sub("#", out)
     return out.lower() if fold else out
 
 
@@ -69,13 +73,13 @@ def _right(text: str, at: int, fold: bool) -> str:
     first = words[0]
     if not (first[0] in "(," and any(map(str.isdigit, first))) and len(words) > 1:
         first = f"{first} {words[1]}"
-    out = ("" if rest[0] != " " else " ") + _MARKED.sub("#", first)
+    out = ("" if rest[0] != " " else " ") + (first if first.isalpha() else _MARKED.sub("#", first))
     return out.lower() if fold else out
 
 
 def _beside(text: str, at: int) -> str:
     """The word before a number, without case, signs and digits."""
-    words = text[max(0, at - 30) : at].split()
+    words = text[max(0, at - 30) : at].rsplit(None, 1)
     return _DIGITS.sub("#", words[-1]).lower().strip(".,;:") if words else "^"
 
 
@@ -92,7 +96,8 @@ class Span:
             self.last = (text[self.start : m.end("family")] if m.group("given") else m.group("last")).lower()
         else:
             self.given, self.last = (m.group("given") or m.group("first")).lower(), (m.group("family") or m.group("last")).lower()
-        before = _TITLE_END.search(text, max(0, self.start - 7), self.start)
+        # titles end in one of these letters or a full stop
+        before = _TITLE_END.search(text, max(0, self.start - 7), self.start) if text[self.start - 2 : self.start - 1] in _TITLE_LAST else None
         self.title = before is not None
         self._left = before.start() if before else self.start
 
@@ -151,7 +156,7 @@ class Evidence:
         return form + max(-6.0, min(2.0, self.bits.get(("P", _beside(text, at)), 0.0)))
 
 
-_SMALL_START = re.compile(r"(?:\A|[.!?]\s)(?=[a-zà-öø-ÿ][^\W\d_]+ )")
+_SMALL_WORD, _SMALL_START = re.compile(r"[a-zà-öø-ÿ][^\W\d_]+ "), re.compile(r"[.!?]\s(?=[a-zà-öø-ÿ][^\W\d_]+ )")
 _STREET_NEXT = re.compile(rf" (?:{STREETS})(?![\w’'-])", re.I)
 _ID_CUES = ("tax", "tfn", "medicare", "licen", "dl", "passport")
 
@@ -203,8 +208,8 @@ def _cued(text: str, evidence: Evidence) -> Iterable[Span]:
     for m in _TITLE_AT.finditer(text):
         if n := _ANY.match(text, m.end()):
             yield Span(text, n, False)
-    for m in _SMALL_START.finditer(text):
-        if n := _ANY.match(text, m.end()):
+    for at in ([0] if _SMALL_WORD.match(text) else []) + [m.end() for m in _SMALL_START.finditer(text)]:
+        if n := _ANY.match(text, at):
             s = Span(text, n, False)
             if evidence.bits.get(("R", s.right), 0) >= 2:
                 yield s
