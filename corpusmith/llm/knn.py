@@ -146,7 +146,7 @@ def most_similar(
     rows are compared exactly. A vector first searches its own cell. Its k-th best value there tells how near better ones would be, and
     it then visits those of its ``probes`` nearest cells whose border is nearer than ``reach`` times the standard deviation, in one direction,
     of neighbours that near; a visit returns only rows at least as good. A cell estimated at over ``block`` rows is cut into
-    blocks that are visited all. Documents with the very same vector stand behind their k + 1 smallest ids, among which
+    blocks that are visited all; a block with more than ``block`` visitors gets them in shares. Documents with the very same vector stand behind their k + 1 smallest ids, among which
     all their best neighbours with cosine 1 are.
     """
     spark = df.sparkSession
@@ -219,7 +219,13 @@ def most_similar(
     placed = table.rows.select("id", "h1", "v").mapInArrow(place, f"part int, id {kind}, v binary, at array<int>, border array<float>").repartition(tasks, "part").persist(StorageLevel.MEMORY_AND_DISK)
     first_round = placed.groupBy("part").applyInArrow(home, f"id {kind}, {lists}, least double, go array<int>, v binary").persist(StorageLevel.MEMORY_AND_DISK)
     visits = first_round.where(F.size("go") > 0).select(F.explode("go").alias("part"), "id", "v", "least").repartition(tasks, "part")
-    better = placed.select("part", "id", "v").groupBy("part").cogroup(visits.groupBy("part")).applyInArrow(visit, f"id {kind}, {lists}")
+    residents, keys = placed.select("part", "id", "v"), ["part"]
+    crowded = {r.part: -(-r.n // block) for r in visits.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}  # at most a row a block
+    if crowded:  # more visitors than a task should hold come in shares, each to a copy of the residents
+        shares = F.coalesce(F.create_map(*[F.lit(x) for p in crowded.items() for x in p])[F.col("part")], F.lit(1))
+        visits = visits.withColumn("share", F.pmod(F.xxhash64("id"), shares).cast("int"))
+        residents, keys = residents.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))), ["part", "share"]
+    better = residents.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(visit, f"id {kind}, {lists}")
     moving = first_round.where(F.size("go") > 0).select("id", "near").unionByName(better).groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     merged = materialise(first_round.where(F.size("go") == 0).select("id", "near").unionByName(moving))
     first_round.unpersist()

@@ -184,3 +184,13 @@ def test_one_link_across_cells_joins_two_groups(spark):
     joined = table(spark, [row(n, v) for n, v in (groups | {"m": a + b}).items()])
     found = [{r.doc_id: r.cluster for r in clusters.similarity_clusters(df, "doc_id", "embedding", 0.66, 5, DIM, cell_rows=30).collect()} for df in (apart, joined)]
     assert set(found[0].values()) == {"a000", "b000"} and set(found[1].values()) == {"a000"} and len(found[1]) == 241
+
+
+def test_crowds_of_visitors_come_in_shares(spark, cloud):
+    """Blocks of 12 rows: every cell is cut, and its blocks have more visitors than a block."""
+    df = table(spark, [row(n, v) for n, v in cloud.items()])
+    got, want = knn.most_similar(df, "doc_id", "embedding", 5, DIM, cell_rows=130, block=12, reach=9.0), brute(cloud, 5)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.doc_id, []).append((r.rank, r.neighbour))
+    assert sum([n for _, n in sorted(found[d])] == w for d, w in want.items()) >= 0.98 * len(want)
