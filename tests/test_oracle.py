@@ -24,9 +24,9 @@ def test_same_as_sql(spark, data, con, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_gives_rows(spark, data, name):
-    assert QUERIES[name](spark, data).count() > 0
+def test_every_query_is_compared():
+    """By its own SQL, or by the facts that SQL states about it (which run the query itself)."""
+    assert not [n for n in QUERIES if n not in SQL and f"{n}_facts" not in SQL]
 
 
 def test_entry(spark, data):
