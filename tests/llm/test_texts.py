@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusmith.llm import leakage, mojibake, neardup, packing, pii, terms, topn
+from corpusmith.llm.common import one_per_id
 from corpusmith.llm.shingles import hashed_words, words_of
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -366,3 +367,11 @@ def test_words_before_numbers_tell_telephones_from_others(spark):
     assert got == {"s": "phone", "w": "phone"}
     alone = pii.personal_details(docs(spark, rows[-1:]), "doc_id", "text", lexicon).collect()
     assert [(r.kind, r.found) for r in alone] == [("phone", "5551399876")]  # without evidence the form decides
+
+
+@pytest.mark.parametrize("broadcast_rows", [1000, 1])
+def test_one_row_an_id(spark, broadcast_rows):
+    rows = [("a", "x", 1), ("a", "x", 1), ("a", "b", 9), ("b", None, 2), ("c", "y", None), ("c", None, 5), (None, "z", 3), (None, "z", 3)] + [("hot", f"t{i}", i) for i in range(50)]
+    got = one_per_id(spark.createDataFrame(rows, "doc_id string, text string, _n int"), "doc_id", "text", broadcast_rows=broadcast_rows).collect()
+    assert {r.doc_id: r.text for r in got} == {"a": "b", "b": None, "c": None, "hot": "t0"} and len(got) == 4
+    assert one_per_id(spark.createDataFrame([], "doc_id string, text string"), "doc_id", "text").count() == 0
