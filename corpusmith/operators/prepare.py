@@ -18,11 +18,12 @@ def acronym_counts(df: DataFrame, text: str, min_length: int = 2) -> DataFrame:
     return df.select(F.explode(T.acronyms(F.col(text), min_length)).alias("acronym")).groupBy("acronym").agg(F.count("*").alias("count"))
 
 
-def detect_acronyms(df: DataFrame, text: str, known: DataFrame | None = None, min_length: int = 2, min_count: int = 2, limit: int | None = None) -> DataFrame:
-    """Frequent acronyms that no dictionary (``known``: term) holds, most frequent first."""
+def detect_acronyms(df: DataFrame, text: str, known: DataFrame | None = None, min_length: int = 2, min_count: int = 2, limit: int | None = None, include_known: bool = False) -> DataFrame:
+    """Frequent acronyms that no dictionary (``known``: term) holds, most frequent first; with ``include_known`` all, and whether one holds them."""
     found = acronym_counts(df, text, min_length).where(F.col("count") >= min_count)
     if known is not None:
-        found = found.join(known.select(F.col("term").alias("acronym")), "acronym", "left_anti")
+        held = known.select(F.col("term").alias("acronym")).distinct()
+        found = found.join(held.withColumn("known", F.lit(True)), "acronym", "left").na.fill(False, ["known"]) if include_known else found.join(held, "acronym", "left_anti")
     found = found.orderBy(F.desc("count"), "acronym")
     return found.limit(limit) if limit else found
 

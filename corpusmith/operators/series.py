@@ -35,10 +35,10 @@ def rescale(value: str, low: float, high: float, *by: str) -> Column:
     return F.when(most > least, low + (F.col(value) - least) / (most - least) * (high - low)).otherwise(F.lit(float(high)))
 
 
-def topic_periods(df: DataFrame, time: str, topic: str, freq: str = "W", value: str | None = None, top: int | None = None, normalize: bool = False, cumulative: bool = False) -> DataFrame:
+def topic_periods(df: DataFrame, time: str, topic: str, freq: str = "W", value: str | None = None, top: int | None = None, normalize: bool = False, cumulative: bool = False, densify: bool = False) -> DataFrame:
     """(period_end, topic, value): count or sum by period and topic, missing cells of a period 0.
 
-    Null times and topics are dropped; periods without any row don't appear. ``top`` keeps the largest topics. Shares are
+    Null times and topics are dropped; periods without any row appear only with ``densify``. ``top`` keeps the largest topics. Shares are
     taken before sums are accumulated.
     """
     some = df.where(F.col(time).isNotNull() & F.col(topic).isNotNull())
@@ -46,7 +46,11 @@ def topic_periods(df: DataFrame, time: str, topic: str, freq: str = "W", value:
         some = some.join(F.broadcast(top_topics(some, topic, top, value).select(topic)), topic, "left_semi")
     cells = some.groupBy(P.period_end(F.col(time), freq).alias("period_end"), F.col(topic).alias("topic")).agg(measure(value).alias("value"))
     # every (period, topic): both lists are as long as the chart's axes
-    grid = cells.select("period_end").distinct().crossJoin(cells.select("topic").distinct())
+    periods = cells.select("period_end").distinct()
+    if densify:  # every period between the first and the last, by way of its days
+        span = periods.agg(F.min("period_end").alias("a"), F.max("period_end").alias("b")).where(F.col("a").isNotNull())
+        periods = span.select(F.explode(F.sequence("a", "b")).alias("day")).select(P.period_end(F.col("day"), freq).alias("period_end")).distinct()
+    grid = periods.crossJoin(cells.select("topic").distinct())
     full = grid.join(cells, ["period_end", "topic"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     if normalize:
         full = full.withColumn("value", F.coalesce(share("value", "period_end"), F.lit(0.0)))

@@ -59,6 +59,14 @@ def agg_period_topic_sum(spark: SparkSession, d: str) -> DataFrame:
     return _day(series.topic_periods(_act(spark, d), "obs_ts", "topic", "M", "obs_value", top=5, normalize=True)).withColumn("value", F.round("value", 6))
 
 
+@query("agg_period_dense", """with cells as (select cast(logged_at as date) as p, corrected_topic as topic, cast(count(*) as double) as value from feedback_log where logged_at is not null and corrected_topic is not null group by 1, 2),
+days as (select cast(unnest(generate_series(min(p), max(p), interval 1 day)) as date) as p from cells), grid as (select * from days, (select distinct topic from cells))
+select strftime(p, '%Y-%m-%d') as period_end, topic, coalesce(value, 0.0) as value from grid left join cells using (p, topic)""")
+def agg_period_dense(spark: SparkSession, d: str) -> DataFrame:
+    """Days without any review between the first and the last appear with zeros."""
+    return _day(series.topic_periods(table(spark, d, "feedback_log"), "logged_at", "corrected_topic", "D", densify=True))
+
+
 @query("agg_period_topic_wide", "select strftime(cast(ts as date), '%Y-%m-%d') as period_end, " + ", ".join(f"cast(count(*) filter (event_type = '{t}') as double) as {t}" for t in ("click", "error", "purchase", "signup", "view")) + " from events where ts is not null group by 1")
 def agg_period_topic_wide(spark: SparkSession, d: str) -> DataFrame:
     return _day(series.topic_periods_wide(table(spark, d, "events"), "ts", "event_type", ["click", "error", "purchase", "signup", "view"], "D"))

@@ -88,6 +88,11 @@ def acr_detect(spark: SparkSession, d: str) -> DataFrame:
     return prepare.detect_acronyms(table(spark, d, "sample_documents"), "text", _terms(spark, d, "acronym"), limit=50)
 
 
+@query("acr_detect_all", f"select acronym, count(*) as count, acronym in (select trim(term) from team_terms where kind = 'acronym' and trim(term) <> '' and trim(replacement) <> '') as known from (select unnest({_ACRONYMS}) as acronym from sample_documents) group by 1 having count(*) >= 2 order by 2 desc, 1 limit 50")
+def acr_detect_all(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.detect_acronyms(table(spark, d, "sample_documents"), "text", _terms(spark, d, "acronym"), limit=50, include_known=True)
+
+
 _EXPAND = r"""with m as (select map_from_entries(list({{'k': term, 'v': term || ' (' || replacement || ')'}})) as m from ({clean}))
 select doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_&]+|[^\p{{L}}\p{{N}}_&]+'), lambda w: coalesce(m[w], w)), '') as text from sample_documents, m"""
 
@@ -98,6 +103,17 @@ def acr_expand(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sample_documents").select("doc_id", prepare.expand_acronyms(F.col("text"), known).alias("text"))
 
 
+_NESTED = f"""with m as (select map_from_entries(list({{'k': term, 'v': term || ' (' || replacement || ')'}})) as m from ({_CLEAN.format('acronym')}))
+select doc_id, list_reduce([coalesce(text, '')] || {_ACRONYMS}, lambda acc, a: replace(acc, a, coalesce(m[a], a))) as text from sample_documents, m"""
+
+
+@query("acr_expand_compat", _NESTED)
+def acr_expand_compat(spark: SparkSession, d: str) -> DataFrame:
+    """Every match in order replaces all occurrences, inside other words too, so repeated acronyms nest."""
+    known = D.as_dict(_terms(spark, d, "acronym"))
+    return table(spark, d, "sample_documents").select("doc_id", prepare.expand_acronyms(F.col("text"), known, compat=True).alias("text"))
+
+
 _SCORE = "round(100.0 * (1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}), 1)), 4)"
 
 
