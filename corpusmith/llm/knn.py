@@ -133,7 +133,7 @@ def search(data: np.ndarray, codes: Codes, queries: np.ndarray, own: np.ndarray,
 
 
 def most_similar(
-    df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 96, probes: int = 4, reach: float = 1.5, cell_rows: int = 4000, block: int = 32768, task_rows: int = 8192, bits: int = 384, epsilon: float = 1.9, seed: int = 7
+    df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 96, probes: int = 4, reach: float = 1.5, margin: float = 0.1, cell_rows: int = 4000, block: int = 32768, task_rows: int = 8192, bits: int = 384, epsilon: float = 1.9, seed: int = 7
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): the ``k`` most similar other documents of every document with a usable vector.
 
@@ -145,7 +145,7 @@ def most_similar(
     each of ``bits`` rotated coordinates of its residual; the estimate by popcounts plus ``epsilon`` standard errors decides which
     rows are compared exactly. A vector first searches its own cell. Its k-th best value there tells how near better ones would be, and
     it then visits those of its ``probes`` nearest cells whose border is nearer than ``reach`` times the standard deviation, in one direction,
-    of neighbours that near; a visit returns only rows at least as good. A cell estimated at over ``block`` rows is cut into
+    of neighbours that near (or than ``margin``, so that near ones are sought thoroughly); a visit returns only rows at least as good. A cell estimated at over ``block`` rows is cut into
     blocks that are visited all; a block with more than ``block`` visitors gets them in shares. Documents with the very same vector stand behind their k + 1 smallest ids, among which
     all their best neighbours with cosine 1 are.
     """
@@ -193,7 +193,7 @@ def most_similar(
         leaf = group["at"].combine_chunks().values.to_numpy().reshape(-1, probes)[at]
         border = group["border"].combine_chunks().values.to_numpy().reshape(-1, probes)[at]
         with np.errstate(invalid="ignore"):
-            go = border < reach * np.sqrt(np.maximum(2 - 2 * last, 0) / dim)[:, None]
+            go = border < np.maximum(reach * np.sqrt(np.maximum(2 - 2 * last, 0) / dim), margin)[:, None]
         go[:, 0] = parts[leaf[:, 0]] > 1
         go &= leaf >= 0
         lists = [[int(p) for j in np.flatnonzero(g) for p in range(first[own[j]], first[own[j]] + parts[own[j]]) if p != part] for g, own in zip(go, leaf, strict=True)]
