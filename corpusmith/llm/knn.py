@@ -108,8 +108,9 @@ def search(data: np.ndarray, codes: Codes, queries: np.ndarray, own: np.ndarray,
         if len(x) > 64 * k:
             # the best row of each of many groups of rows far apart, by bound; exact values of the best of these give a first threshold
             groups = len(x) // 32
+            first = min(3 * k, groups)
             some = upper[:, : groups * 32].reshape(len(q), 32, groups).argmax(1) * groups + np.arange(groups)
-            order = np.argpartition(np.take_along_axis(upper, some, 1), -3 * k, axis=1)[:, -3 * k :]
+            order = np.argpartition(np.take_along_axis(upper, some, 1), -first, axis=1)[:, -first:]
             some = np.take_along_axis(some, order, 1)
             exact = np.einsum("ijk,ik->ij", x[some], q)
             exact[me[:, None] == some] = -np.inf

@@ -194,3 +194,15 @@ def test_crowds_of_visitors_come_in_shares(spark, cloud):
     for r in got.collect():
         found.setdefault(r.doc_id, []).append((r.rank, r.neighbour))
     assert sum([n for _, n in sorted(found[d])] == w for d, w in want.items()) >= 0.98 * len(want)
+
+
+@pytest.mark.parametrize("n", [320, 321, 352, 400, 479, 480])
+def test_cells_of_any_size_are_searched(n):
+    """Cells of 321 to 479 rows have fewer groups of rows than thrice the neighbours sought."""
+    rng = np.random.default_rng(n)
+    x = unit(rng.standard_normal((n, 96)) + 0.5)
+    center, turn = x.mean(0).astype(np.float32), knn.rotation(96, 384, 7)
+    at, _ = knn.search(x, knn.Codes.of(x.astype(np.float32), center, turn), x, np.arange(n), 5, center, turn, 9.0)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    assert (at == np.argsort(-s, axis=1, kind="stable")[:, :5]).all()
