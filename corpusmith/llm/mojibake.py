@@ -207,19 +207,56 @@ def path_weight(edges: list, word: str) -> float | None:
     return states[-1].get(len(word))
 
 
-def fill_lost(token: str, words: list[tuple[str, int]], odds: float = 8.0) -> str | None:
-    """The token with its lost bytes restored: the word with the highest weight of its best path plus the logarithm of its corpus count.
+def certain_letters(body: str, edges: list) -> str:
+    """The word with a blank for all but its certain letters: those that no damaged character may cover."""
+    open_ = [c == LOST or not c.isalpha() for c in body]
+    for i, here in enumerate(edges):
+        for end, *_ in here:
+            if end > i + 1:
+                open_[i:end] = [True] * (end - i)
+    return "".join(" " if o else c.lower() if len(c.lower()) == 1 else " " for c, o in zip(body, open_, strict=True))
 
-    Where under two letters are certain, that word must also be ``odds`` times likelier than the next.
+
+def lost_keys(token: str) -> list[tuple[str, int]]:
+    """(gram, length) of the words that a token with lost bytes may be: up to three certain letters in a row, at each length its lattice allows.
+
+    None if no letter is certain, as nothing then tells words apart.
     """
     body = token.strip(_ENDS)
-    if not body:
-        return None
     edges = lost_edges(body)
-    scored = sorted(((w + math.log(n), word) for word, n in words if (w := path_weight(edges, word)) is not None), key=lambda x: (-x[0], x[1]))
-    if not scored or sum(c.isascii() and c.isalpha() for c in body) < 2 and len(scored) > 1 and scored[0][0] - scored[1][0] < math.log(odds):
+    run = max(certain_letters(body, edges).split(), key=len, default="")
+    lengths: list[set[int]] = [set() for _ in range(len(body) + 1)]
+    lengths[0].add(0)
+    for i, here in enumerate(edges):
+        for end, *_ in here:
+            lengths[end] |= {n + 1 for n in lengths[i]}
+    return [(run[:3], n) for n in sorted(lengths[-1])] if run else []
+
+
+def word_keys(word: str) -> list[tuple[str, int]]:
+    """The keys under which a sound word is found: every run of up to three of its characters, with its length."""
+    return [(g, len(word)) for g in sorted({word[i : i + k] for k in (1, 2, 3) for i in range(len(word) - k + 1)})]
+
+
+def fitting(body: str, words: list[tuple[str, int]]) -> list[tuple[float, str]]:
+    """(weight of the best path plus logarithm of the corpus count, word) of the words that the lattice spells, best first."""
+    edges = lost_edges(body)
+    sure = certain_letters(body, edges)
+    head, tail = re.match("[^ ]*", sure).group(), re.search("[^ ]*$", sure).group()
+    return sorted(((w + math.log(n), word) for word, n in words if word.startswith(head) and word.endswith(tail) and (w := path_weight(edges, word)) is not None), key=lambda x: (-x[0], x[1]))
+
+
+def choose(body: str, scored: list[tuple[float, str]], odds: float) -> str | None:
+    """The best word; where under two letters are certain, only if it is ``odds`` times likelier than the next."""
+    sure = sum(c.isascii() and c.isalpha() for c in body) or sum(c != " " for c in certain_letters(body, lost_edges(body)))
+    if not scored or sure < 2 and len(scored) > 1 and scored[0][0] - scored[1][0] < math.log(odds):
         return None
-    word = scored[0][1]
+    return scored[0][1]
+
+
+def put_word(token: str, word: str) -> str:
+    """The token with the word in its place, in the letters' case."""
+    body = token.strip(_ENDS)
     letters = [c for c in body if c.isalpha()]
     if len(letters) > 1 and all(c.isupper() for c in letters):
         word = word.upper()
@@ -229,8 +266,35 @@ def fill_lost(token: str, words: list[tuple[str, int]], odds: float = 8.0) -> st
     return token[:at] + word + token[at + len(body) :]
 
 
+def fill_lost(token: str, words: list[tuple[str, int]], odds: float = 8.0) -> str | None:
+    """The token with its lost bytes restored: the word with the highest weight of its best path plus the logarithm of its corpus count.
+
+    Where under two letters are certain, that word must also be ``odds`` times likelier than the next.
+    """
+    body = token.strip(_ENDS)
+    word = choose(body, fitting(body, words), odds) if body else None
+    return None if word is None else put_word(token, word)
+
+
+def reread(token: str) -> list[str]:
+    """Other readings of a token with lost bytes under the swapped single-byte encodings; the marks stay."""
+    out = []
+    for wrong, right in SINGLE_BYTE:
+        table = byte_table(wrong)
+        try:
+            read = "".join(c if c <= "\x7f" or c == LOST else bytes([table[c]]).decode(right) for c in token)
+        except (KeyError, UnicodeDecodeError):
+            continue
+        if read != token and _RUN.fullmatch(core(read).replace(LOST, "").replace("-", "").replace("’", "").replace("'", "")):
+            out.append(read)
+    return list(dict.fromkeys(out))
+
+
 def token_damage(df: DataFrame, id_col: str, text_col: str, least: int = 3, odds: float = 8.0) -> DataFrame:
-    """(token, restored, way): every damaged token of the corpus; ``restored`` is null where nothing fits."""
+    """(token, restored, way): every damaged token of the corpus.
+
+    ``restored`` is null where nothing fits, and still holds marks where only other damage of the token could be put right.
+    """
     texts = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,6 +336,7 @@ def token_damage(df: DataFrame, id_col: str, text_col: str, least: int = 3, odds
                     rows.append((token, n, core(token), "utf8", fixed, None, False))
                 if LOST in fixed:
                     rows.append((token, n, core(token), "lost", fixed, core(fixed), True))
+                    rows += [(token, n, core(token), "lost, read anew", read, core(read), True) for read in reread(token)]
                 else:
                     own = core(token)
                     if fixed == token:
@@ -297,17 +362,46 @@ def token_damage(df: DataFrame, id_col: str, text_col: str, least: int = 3, odds
     better = known.where((F.col("seen") >= least) & (F.col("seen") >= odds * F.coalesce("as_is", F.lit(0))))
     best = Window.partitionBy("token").orderBy(F.desc("seen"), "way")
     swapped = better.withColumn("r", F.row_number().over(best)).where("r = 1").select("token", "restored", "way")
-    # a word with lost bytes meets the sound words that are alike but for their runs of other characters than ASCII
-    frame = F.regexp_replace("word", "[^\\x00-\\x7f]+", LOST).alias("frame")
-    lost = read.where("lost").select("token", "restored", frame).distinct()
-    sound = words.where(F.col("word").rlike("[a-z]")).select(frame, "word", "seen")
+    # a word with lost bytes meets the sound words that are alike but for their runs of other characters than ASCII; without an ASCII letter, those with
+    # the same run of certain letters and a length that fits
+    frame = F.regexp_replace("word", "[^\\x00-\\x7f]+", LOST)
+    lost = read.where("lost").select("token", "way", "restored", "word").distinct()
+    latin = F.col("word").rlike("[a-z]")
 
-    def search(key: tuple, tokens: pa.Table, known: pa.Table) -> pa.Table:
-        pairs = list(zip(known["word"].to_pylist(), known["seen"].to_pylist(), strict=True))
-        found = [fill_lost(t, pairs, odds) if pairs else None for t in tokens["restored"].to_pylist()]
-        return pa.table({"token": tokens["token"], "restored": pa.array(found, pa.string()), "way": pa.array(["lost"] * len(found), pa.string())})
+    def keyed(keys) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [[f"{n} {g}" for g, n in keys(x)] for x in b.column(0).to_pylist()]
+                at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns], pa.array([k for x in found for k in x], pa.string())], [*b.schema.names, "frame"])
 
-    filled = lost.groupBy("frame").cogroup(sound.join(lost.select("frame").distinct(), "frame", "left_semi").groupBy("frame")).applyInArrow(search, "token string, restored string, way string")
+        return run
+
+    asked = lost.where(latin).select("restored", "token", "way", frame.alias("frame")).unionByName(lost.where(~latin).select("restored", "token", "way").mapInArrow(keyed(lost_keys), "restored string, token string, way string, frame string"))
+    sound = words.where(latin).select("word", "seen", frame.alias("frame")).unionByName(words.where(~latin).select("word", "seen").mapInArrow(keyed(word_keys), "word string, seen bigint, frame string"))
+
+    def search(key: tuple, tokens: pa.Table, known: pa.Table) -> pa.Table:
+        pairs, rows = list(zip(known["word"].to_pylist(), known["seen"].to_pylist(), strict=True)), []
+        for t, body, way in zip(tokens["token"].to_pylist(), tokens["restored"].to_pylist(), tokens["way"].to_pylist(), strict=True):
+            # the two best words are enough; a token read anew is that much less likely
+            rows += [(t, body, score - math.log(odds) * (way != "lost"), word) for score, word in (fitting(body.strip(_ENDS), pairs)[:2] if pairs else [])]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("token", "restored", "score", "word"), columns, (pa.string(), pa.string(), pa.float64(), pa.string()), strict=True)})
+
+    found = asked.groupBy("frame").cogroup(sound.join(asked.select("frame").distinct(), "frame", "left_semi").groupBy("frame")).applyInArrow(search, "token string, restored string, score double, word string")
+    ranked = found.groupBy("token", "word").agg(F.min(F.struct((-F.col("score")).alias("minus"), "restored")).alias("x"))
+    best_two = ranked.groupBy("token").agg(F.slice(F.array_sort(F.collect_list(F.struct("x.minus", "word", "x.restored"))), 1, 2).alias("best"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, fixed, best in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                word = choose(best[0]["restored"].strip(_ENDS), [(-x["minus"], x["word"]) for x in best], odds) if best else None
+                # what is certain of a token is put right even if its lost bytes stay open
+                out.append(put_word(best[0]["restored"], word) if word is not None else fixed if fixed != t else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(["lost"] * len(out), pa.string())], ["token", "restored", "way"])
+
+    filled = lost.where("way = 'lost'").select("token", "restored").join(best_two, "token", "left").mapInArrow(fill, "token string, restored string, way string")
     sure = sure.where(~F.col("restored").contains(LOST)).join(swapped.select("token"), "token", "left_anti")  # a known word is the better reading
     every = sure.unionByName(swapped).unionByName(filled)
     return materialise(every)

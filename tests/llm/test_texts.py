@@ -375,3 +375,17 @@ def test_one_row_an_id(spark, broadcast_rows):
     got = one_per_id(spark.createDataFrame(rows, "doc_id string, text string, _n int"), "doc_id", "text", broadcast_rows=broadcast_rows).collect()
     assert {r.doc_id: r.text for r in got} == {"a": "b", "b": None, "c": None, "hot": "t0"} and len(got) == 4
     assert one_per_id(spark.createDataFrame([], "doc_id string, text string"), "doc_id", "text").count() == 0
+
+
+def test_lost_bytes_in_words_without_ascii_letters(spark):
+    """Words of other scripts, alone or read under a swapped encoding as well, and tokens of which only a part can be put right."""
+    lost = mojibake.LOST
+    sound = [(f"s{i}", "Владелец сообщил о протечке на кухне, źródłem zniszczeń był wąż") for i in range(5)]
+    hurt = {
+        "one": f"Вла{lost}елец сообщил", "two": f"владел{lost}{lost}ц", "end": f"сообщи{lost}!", "first": f"{lost}ротечке", "caps": f"КУХ{lost}Е",
+        "swap": "Владелец".encode("cp1251").decode("cp1252").replace("ä", lost), "part": f"dÃ©z{lost}zq", "none": f"{lost}{lost}",
+    }
+    got = {r.doc_id: r.restored for r in mojibake.restore_documents(docs(spark, sound + list(hurt.items()) + [("é", "é é é é")]), "doc_id", "text").collect()}
+    want = {"one": "Владелец сообщил", "two": "владелец", "end": "сообщил!", "first": "протечке", "caps": "КУХНЕ", "swap": "Владелец", "part": f"déz{lost}zq", "none": f"{lost}{lost}"}
+    assert got == want
+    assert mojibake.lost_keys(f"{lost}{lost}") == [] and ("ела", 6) not in mojibake.word_keys("елец") and ("еле", 4) in mojibake.word_keys("елец")
