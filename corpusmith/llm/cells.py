@@ -94,25 +94,20 @@ class Cells:
 def fit_cells(rows: DataFrame, n: int, dim: int, cell_rows: int, seed: int, per_cell: int = 64, max_leaves: int = 1 << 20, driver_sample: int = 32_768, seeded: Callable[[int], np.ndarray] | None = None) -> tuple[Cells, np.ndarray]:
     """(cells of about ``cell_rows`` vectors, estimated vectors of each leaf) from a sample of ``per_cell`` vectors a leaf (8192 at least).
 
-    The upper cells come from at most about ``driver_sample`` vectors on the driver, and few cells do too (or from ``seeded``, a fit of its own). More leaves than these give are fitted by the workers,
-    an upper cell each. The driver and the broadcast hold the leaves' centres, four bytes an entry; past ``max_leaves``
+    The same steps at every size: the upper cells, about the square root of the number of leaves, come from at most about ``driver_sample``
+    vectors on the driver (or from ``seeded``, a fit of its own), and the leaves are fitted by the workers, an upper cell each. The driver and the
+    broadcast hold the leaves' centres, four bytes an entry; past ``max_leaves``
     (400 MB at 96 entries, some 6 billion vectors at 6,000 a cell) leaves get larger and are worked off in more blocks.
     """
     wanted = int(np.clip(round(n / cell_rows), 1, max_leaves))
-    size = max(min(8192, driver_sample), per_cell * wanted)
-    sample = sample_vectors(rows, n, min(size, driver_sample), dim)
-    if size <= driver_sample or len(sample) >= n:
-        leaves = seeded(wanted) if seeded else lloyd(sample, grow(sample, int(1.5 * len(sample) / wanted) + 1, seed), 2)
-        leaves = without_small(leaves, sample, len(sample) / wanted)
-        tops = grow(leaves, int(1.5 * len(leaves) ** 0.5) + 1, seed)
-        own = nearest(leaves, tops, 1)[:, 0]
-        order = np.argsort(own, kind="stable")
-        cells = Cells(tops, leaves[order], np.searchsorted(own[order], np.arange(len(tops) + 1)))
-        held = np.bincount(cells.place(sample, 1)[0][:, 0], minlength=len(leaves))
-        return cells, held * (n / max(len(sample), 1))
-    tops = grow(sample, int(1.5 * len(sample) / wanted**0.5) + 1, seed)
+    size = max(8192, per_cell * wanted)
+    if seeded:
+        tops = seeded(int(np.ceil(wanted**0.5)))
+    else:
+        sample = sample_vectors(rows, n, min(size, driver_sample), dim)
+        tops = grow(sample, int(1.5 * len(sample) / wanted**0.5) + 1, seed)
     given, share = rows.sparkSession.sparkContext.broadcast(tops), min(1.0, size / n)
-    most = int(1.5 * size / wanted) + 1
+    most = int(1.5 * min(size, n) / wanted) + 1
 
     def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,6 +125,9 @@ def fit_cells(rows: DataFrame, n: int, dim: int, cell_rows: int, seed: int, per_
     some = rows.where(F.pmod(F.col("h1"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).select("h1", "h2", "v")
     got = some.mapInArrow(upper, "top int, h1 bigint, h2 bigint, v binary").groupBy("top").applyInArrow(fit, "top int, held bigint, c binary").toArrow()
     given.unpersist()
+    if not got.num_rows:  # so few distinct vectors that the sample holds none
+        tops = np.nan_to_num(tops)
+        return Cells(tops, tops, np.arange(len(tops) + 1)), np.full(len(tops), n / len(tops))
     own, centers = got["top"].to_numpy(), unpack(got["c"], dim)
     order = np.lexsort((*centers.T[:2], own))
     used = np.unique(own)

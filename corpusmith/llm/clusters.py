@@ -145,8 +145,7 @@ def similarity_clusters(df: DataFrame, id_col: str, vec_col: str, least: float =
     Usable vectors, repeated rows, null ids, extra columns and empty tables are treated as in ``most_similar``; documents
     with the very same vector always belong together.
 
-    Distributed k-means divides the vectors into cells (see ``fit_cells``): centres by parallel oversampled seeding where few are
-    needed, by two levels otherwise. A vector also visits those of its ``probes`` nearest cells, and of the nearest cells of the neighbouring upper
+    Distributed k-means divides the vectors into cells of two levels (see ``fit_cells``), the upper ones by parallel oversampled seeding. A vector also visits those of its ``probes`` nearest cells, and of the nearest cells of the neighbouring upper
     cells, whose border is nearer than ``reach``
     times the standard deviation, in one direction, of vectors at the threshold. All that meet in a cell are linked exactly; a
     vector in two cells joins the chains of both, so what the cells cut apart is joined again as soon as one link across lies

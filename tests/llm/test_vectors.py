@@ -206,3 +206,10 @@ def test_cells_of_any_size_are_searched(n):
     s = x @ x.T
     np.fill_diagonal(s, -2)
     assert (at == np.argsort(-s, axis=1, kind="stable")[:, :5]).all()
+
+
+def test_cells_are_fitted_alike_at_every_size(spark, cloud):
+    """Whether the sample would fit onto the driver changes nothing."""
+    rows = vector_table(table(spark, [row(n, v) for n, v in cloud.items()]), "doc_id", "embedding", DIM, 1).rows
+    fits = [cells.fit_cells(rows, len(cloud), DIM, 20, 7, driver_sample=most, seeded=lambda k: clusters.kmeans_parallel(rows, DIM, k, seed=7)) for most in (100, 1 << 15)]
+    assert all((a == b).all() for a, b in zip(*([c.tops, c.leaves, c.start, sizes] for c, sizes in fits), strict=True))
