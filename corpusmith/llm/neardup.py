@@ -1,4 +1,4 @@
-"""Near-duplicate texts: signatures from thrown darts, banded joining, exact check."""
+"""Near-duplicate texts: an exact join over prefixes of the rarest shingles, sieved by bounds, with an exact check; and signatures from thrown darts."""
 
 from __future__ import annotations
 
@@ -14,10 +14,9 @@ from corpusmith.llm.common import connected_components
 from corpusmith.llm.shingles import distinct, hashed_words, mix, once, windows
 from corpusmith.session import materialise
 
-_SECOND = np.uint64(0x2545F4914F6CDD1D)  # other darts for a text's second bands
 _SLAB = 4.0  # height of a rank region
-_DEEPER = 16  # coordinates at most that are added to a key of shared shingles
-_ROUTES = 256  # groups of band keys at least; more from 20,000 records a group on
+_ROUTES, _ROUTE = 6, 50_000  # groups of shingles at least; more from so many texts a group on
+_STEP = 1 << 20  # pairs sieved at a time
 
 
 def _poisson_steps(mean: float) -> np.ndarray:
@@ -80,24 +79,91 @@ def _set_keys(doc: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np
     return keys[0].view(np.int64), keys[1].view(np.int64)
 
 
-def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(texts, bands) keys of ``rows`` coordinates each.
+def _reach(size: np.ndarray, share: float) -> np.ndarray:
+    """How many of a set's entries must be looked at so that one of any ``share`` of them is met."""
+    return size - np.maximum(np.ceil(share * size - 1e-6), 1).astype(np.int64) + 1
 
-    A key of shared shingles only, which all texts with the same boilerplate have, is carried on over the coordinates of the
-    bands after it up to the first shingle that isn't shared.
+
+def _sketches(doc: np.ndarray, h: np.ndarray, docs: int, words: int) -> np.ndarray:
+    """(docs, 2 x words) 32-bit words: bits that each item of a set flips. Two sets differ in at least as many items as their sketches in bits."""
+    bits = words * 64
+    at = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
+    odd = np.bincount(doc * bits + at, minlength=docs * bits) & 1
+    return np.packbits(odd.astype(bool).reshape(docs, bits), axis=1).view(np.uint32)
+
+
+def index_entries(doc: np.ndarray, h: np.ndarray, level: np.ndarray, least: float, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, text, entry) of the shingles in each text's prefix, ordered by part, text and place.
+
+    A text's shingles are put in order of ``level`` and hash, the same order for all texts; two sets at least as similar as ``least`` have
+    a shingle in common among the first ``1 - least`` of each and one more. An entry has 24 bits of the shingle's hash, 7 for its place as a share of the
+    set's size (rounded down) and one that is set in a text's first entry of a part. At most 2048 texts; ``doc`` ascends.
     """
-    by = sig.reshape(len(sig), bands, rows)
-    keys, open_ = np.zeros((len(sig), bands), np.uint64), np.ones((len(sig), bands), bool)
-    for j in range(rows):
-        keys = mix(keys + by[:, :, j])
-        open_ &= (by[:, :, j] & np.uint64(1)) == 1
-    text, band = np.nonzero(open_)
-    for j in range(_DEEPER):
-        more = sig[text, (band * rows + rows + j) % sig.shape[1]]
-        keys[text, band] = mix(keys[text, band] + more)
-        on = (more & np.uint64(1)) == 1
-        text, band = text[on], band[on]
-    return mix(keys + np.arange(bands, dtype=np.uint64))
+    size = np.bincount(doc)
+    both = np.sort(doc.astype(np.uint64) << np.uint64(53) | level.astype(np.uint64) << np.uint64(43) | h >> np.uint64(21))
+    place = np.arange(len(doc)) - (size.cumsum() - size)[doc]
+    near = place < _reach(size, least)[doc]
+    doc, place, token = doc[near], place[near], mix(both[near] & np.uint64((1 << 43) - 1))
+    part = ((token >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    part, doc, place, token = part[order], doc[order], place[order], token[order]
+    first = np.ones(len(doc), bool)
+    first[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
+    entry = (token & np.uint64(0xFFFFFF)).astype(np.uint32) << np.uint32(8) | (place * 128 // size[doc]).astype(np.uint32) << np.uint32(1) | first.astype(np.uint32)
+    return part, doc, entry
+
+
+def sieve(head: np.ndarray, entry: np.ndarray, least: float) -> np.ndarray:
+    """(pairs, 2) names, smaller first, of the texts that may be at least as similar as ``least``: those that have a shingle of both prefixes in
+    common and whose sizes, places in the prefixes and sketches allow it. No pair that is as similar fails a bound.
+
+    ``head``: name, size and sketch of each text; ``entry``: as ``index_entries`` makes them, text by text.
+    """
+    _, kept, same = np.unique(_folded(head), return_index=True, return_inverse=True)  # copies came from several batches
+    owner = np.cumsum(entry & np.uint32(1)).astype(np.int64) - 1
+    held = kept[same[owner]] == owner
+    owner, entry = same[owner[held]], entry[held]
+    head = head[kept]
+    name, size, sketch = head[:, 0].astype(np.int64), head[:, 1].astype(np.int64), np.ascontiguousarray(head[:, 2:]).view(np.uint64)
+    most = (1 << 24) - 1
+    by = (entry >> np.uint32(8)).astype(np.int64) << 24 | np.minimum(size, most)[owner]
+    order = np.argsort(by)
+    by, owner, entry = by[order], owner[order], entry[order]
+    own = size[owner]
+    place = -(-(own * (entry >> np.uint32(1) & np.uint32(127)).astype(np.int64)) // 128)
+    rest = own - place  # of the set from here on
+    # the smaller set of a pair has the first common shingle in a shorter prefix; its partners stand behind it
+    small = np.flatnonzero(place < _reach(own, 2 * least / (1 + least)))
+    last = np.searchsorted(by, by[small] >> 24 << 24 | np.minimum(np.floor(own[small] / least + 1e-6).astype(np.int64), most), side="right")
+    many = last - small - 1
+    small, many = small[many > 0], many[many > 0]
+    total = np.concatenate([[0], many.cumsum()])
+    needed, apart = least / (1 + least), (1 - least) / (1 + least)
+    found, fresh, i = np.empty(0, np.int64), [], 0
+    while i < len(small):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + _STEP, side="right")) - 1)
+        left = np.repeat(small[i:j], many[i:j])
+        right = left + 1 + np.arange(len(left)) - np.repeat(total[i:j] - total[i], many[i:j])
+        both = own[left] + own[right]
+        ok = np.flatnonzero(np.minimum(rest[left], rest[right]) >= needed * both - 1e-6)
+        x, y, both = owner[left[ok]], owner[right[ok]], both[ok]
+        ok = (np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= apart * both + 1e-6) & (x != y)
+        x, y = x[ok], y[ok]
+        fresh.append(np.unique(np.minimum(x, y) * len(name) + np.maximum(x, y)))
+        if sum(map(len, fresh)) > max(len(found), 4 * _STEP):
+            found, fresh = np.unique(np.concatenate([found, *fresh])), []
+        i = j
+    found = np.unique(np.concatenate([found, *fresh]))
+    a, b = name[found // max(len(name), 1)], name[found % max(len(name), 1)]
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+
+def _folded(rows: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of each row of 32-bit words."""
+    out = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        out = mix(out + column.astype(np.uint64) + np.uint64(1))
+    return out
 
 
 class _Reader:
@@ -119,7 +185,7 @@ class NearDuplicates:
     links: DataFrame  # a, b, similarity: classes (a < b) at least as similar as asked
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, least: float = 0.8, width: int = 5, min_words: int = 1, bands: int = 52, rows: int = 4, common: float = 0.002, boilerplate: float = 0.02, heavy: float = 0.4, filter_bits: int = 1 << 25) -> NearDuplicates:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, least: float = 0.8, width: int = 5, min_words: int = 1, filter_bits: int = 1 << 25) -> NearDuplicates:
     """Texts whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least``.
 
     Words are the longest runs of a-z and 0-9 in the lower-cased text. Null, blank and shorter texts (under ``min_words`` or
@@ -127,21 +193,21 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, least: float = 0.
     Texts with equal sets form one class, so copies cost nothing beyond their row in ``members``. Extra columns are ignored;
     empty input gives empty results. Whole texts are used, of any length.
 
-    ``bands`` x ``rows`` coordinates of signatures of the whole sets, every shingle alike, make band keys; equal keys give
-    candidate pairs. A shingle is shared if it stands in more than ``common`` of the records (and in over 100). Keys of shared
-    shingles only are carried on to one that isn't, which keeps boilerplate from filling the bands. A pair at similarity 0.5 is
-    missed with 3.5 % probability at 52 x 4 without shared shingles, and with somewhat more the more of them it has; texts with over
-    ``heavy`` of shingles that stand in more than ``boilerplate`` of the records have twice the bands. Shingles
-    are counted by hash in cells whose number follows the mean length of the texts (at most 2^20); twice the mean cell is added
-    to the limit, so that texts too long for the cells don't make everything shared. Each pair is checked on the whole sets (of 48-bit hashes).
-    Only candidates' sets travel; other texts send 8 bytes a band.
+    Nothing that meets the threshold is left out, except where hashes coincide: shingles are compared by 64 bits (43 in the prefixes, 48 in the check). Shingles are
+    counted by hash in cells whose number follows the mean length of the texts (at most 2^20), which puts them in an order from rare
+    to frequent; a text sends the entries of its prefix (``1 - least`` of its set and one), dealt to groups by shingle, and once a group its size and a sketch.
+    Pairs with a common entry are sieved there by bounds on sizes, places and sketches. They grow with the square of the texts that share a
+    shingle, hence with the square of a corpus of one kind. What is left is checked on the whole sets (of 48-bit hashes); only candidates' sets travel.
     """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     source = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     mean = source.agg(F.avg(F.length("t"))).first()[0] or 0.0
-    bits = int(np.clip(np.ceil(np.log2(max(mean, 1.0) / 6 * 4 / common)), 16, 20))  # about six letters a word, a quarter of the limit a cell
+    bits = int(np.clip(np.ceil(np.log2(max(mean, 1.0) / 6 * 2000)), 16, 20))  # about six letters a word
+    sketch = int(np.clip(np.ceil(max(mean, 1.0) / 6 * 3.5 / 64), 2, 16))  # 64-bit words; of three bits a shingle the sieve leaves 17 times the pairs
     cells, shift = 1 << bits, np.uint64(64 - bits)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,74 +239,49 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, least: float = 0.
     counters, n = np.zeros((16, cells // 16), np.int64), 0
     for r in added:
         counters[r.chunk], n = np.frombuffer(r.counts, np.int64), n + r.n
-    over = lambda share: (counters.ravel() > max(share * n, 100) + 2 * counters.mean())
-    shared = spark.sparkContext.broadcast((over(common), over(boilerplate)))
-
-    parts = int(min(1 << 16, max(_ROUTES, n // 20_000)))
+    levels = spark.sparkContext.broadcast(np.floor(16 * np.log2(1 + counters.ravel())).astype(np.uint16))  # of 10 bits
+    parts = int(min(1 << 16, max(_ROUTES, n // _ROUTE)))
 
     ids = surveyed.where("chunk is null").groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("k"))
     classes = ids.groupBy("k").agg(F.min("id").alias("class"))
     members = materialise(ids.join(classes, "k").select("id", "class", F.col("k.k1").alias("k1")))
 
-    def banded(doc: np.ndarray, h: np.ndarray, light: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        cuts = np.searchsorted(doc, np.arange(0, len(chosen) + 256, 256))
-        sig = np.concatenate([throw(doc[i:j] - c * 256, h[i:j], light[i:j], 256, bands * rows) for c, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
-        return band_keys(sig[np.flatnonzero(chosen)], bands, rows)
-
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _Reader(width, min_words)
         for whole in batches:
-            routes: list[list[bytes]] = [[] for _ in range(parts)]
+            heads: list[list[bytes]] = [[] for _ in range(parts)]
+            entries: list[list[bytes]] = [[] for _ in range(parts)]
             for b in (whole.slice(s, 2048) for s in range(0, whole.num_rows, 2048)):
                 doc, h = read(b.column(0).to_pylist())
                 key, _ = _set_keys(doc, h, b.num_rows)
                 some = np.unique(doc)
                 _, first = np.unique(key[some], return_index=True)
                 chosen = np.zeros(b.num_rows, bool)
-                chosen[some[first]] = True  # copies within a batch send their bands once
+                chosen[some[first]] = True  # copies within a batch are sent once
                 keep = chosen[doc]
                 doc, h = doc[keep], h[keep]
-                at = (h >> shift).astype(np.int64)
-                light, very = (flags[at] for flags in shared.value)
-                keys, held = banded(doc, h, light, chosen), np.flatnonzero(chosen)
-                dense = chosen & (np.bincount(doc, very, b.num_rows) > heavy * np.bincount(doc, minlength=b.num_rows))
-                own = dense[doc]
-                keys = np.concatenate([keys.ravel(), banded(doc[own], mix(h[own] ^ _SECOND), light[own], dense).ravel()])
-                short = key.view(np.uint64)[np.repeat(np.concatenate([held, np.flatnonzero(dense)]), bands)]
-                route = ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.uint16)
-                order = np.argsort(route, kind="stable")
-                cut = np.searchsorted(route[order], np.arange(parts + 1))
-                flat = ((keys << np.uint64(32)) | (short & np.uint64(0xFFFFFFFF)))[order]
-                for r in np.flatnonzero(cut[1:] > cut[:-1]):
-                    routes[r].append(flat[cut[r] : cut[r + 1]].tobytes())
-            held = [r for r in range(parts) if routes[r]]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([b"".join(routes[r]) for r in held], pa.binary())], ["route", "entries"])
+                head = np.empty((b.num_rows, 2 + 2 * sketch), np.uint32)
+                head[:, 0], head[:, 1], head[:, 2:] = key.view(np.uint64) & np.uint64(0xFFFFFFFF), np.bincount(doc, minlength=b.num_rows), _sketches(doc, h, b.num_rows, sketch)
+                part, text, entry = index_entries(doc, h, levels.value[(h >> shift).astype(np.int64)], least, parts)
+                first = np.flatnonzero(entry & np.uint32(1))
+                tops = np.searchsorted(part[first], np.arange(parts + 1))
+                ends = np.searchsorted(part, np.arange(parts + 1))
+                for r in np.flatnonzero(ends[1:] > ends[:-1]):
+                    heads[r].append(head[text[first[tops[r] : tops[r + 1]]]].tobytes())
+                    entries[r].append(entry[ends[r] : ends[r + 1]].tobytes())
+            held = [r for r in range(parts) if heads[r]]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), *(pa.array([b"".join(x[r]) for r in held], pa.binary()) for x in (heads, entries))], ["part", "heads", "entries"])
 
     def collide(group: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(group["entries"].to_pylist()), np.uint64)
-        slot = (raw >> np.uint64(32)).astype(np.int64) & ((1 << max(16, int(len(raw)).bit_length() + 3)) - 1)
-        raw = raw[np.bincount(slot)[slot] > 1] if len(raw) else raw  # most keys stand alone
-        key, name = (raw >> np.uint64(32)).astype(np.int64), (raw & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        order = np.lexsort((name, key))
-        key, name = key[order], name[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name = key[new], name[new]
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        live, step = np.arange(len(key)), 1
-        while len(live := live[live + step < len(key)]):  # partners one, two, ... places on in the same bucket
-            live = live[key[live] == key[live + step]]
-            left.append(name[live])
-            right.append(name[live + step])
-            step += 1
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+        head, entry = (np.frombuffer(b"".join(group[c].to_pylist()), np.uint32) for c in ("heads", "entries"))
+        pairs = sieve(head.reshape(-1, 2 + 2 * sketch), entry, least)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    packed = source.select("t").mapInArrow(band, "route int, entries binary")
-    pairs = packed.groupBy("route").applyInArrow(collide, "a bigint, b bigint").distinct()
+    packed = source.select("t").mapInArrow(index, "part int, heads binary, entries binary")
+    pairs = packed.groupBy("part").applyInArrow(collide, "a bigint, b bigint").distinct()
     short = members.where(F.col("id") == F.col("class")).select(F.col("k1").bitwiseAND(F.lit(0xFFFFFFFF)).alias("short"), "class")
     named = pairs.join(short.select(F.col("short").alias("a"), F.col("class").alias("x")), "a").join(short.select(F.col("short").alias("b"), F.col("class").alias("y")), "b")
-    candidates = materialise(named.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    candidates = materialise(named.where("x <> y and (a < b or x < y)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
 
     wanted = _bitmap(candidates.select("x").union(candidates.select("y")), "x", filter_bits)
     asked = spark.sparkContext.broadcast(wanted)
@@ -254,9 +295,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, least: float = 0.
             held, start = np.unique(doc, return_index=True)
             kept = (h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
             ends = np.append(start, len(h)) * 6
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(held)), pa.array([kept[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "s"])
+            k1, k2 = (k[held] for k in _set_keys(doc, h, b.num_rows))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(held)), pa.array(k1), pa.array(k2), pa.array([kept[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "k1", "k2", "s"])
 
-    held = source.select("id", "t", F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1)).alias("h")).mapInArrow(sets, f"id {kind}, s binary").groupBy("id").agg(F.min("s").alias("s"))
+    held = source.select("id", "t", F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1)).alias("h")).mapInArrow(sets, f"id {kind}, k1 bigint, k2 bigint, s binary").groupBy("id").agg(F.min(F.struct("k1", "k2", "s")).alias("k")).select("id", F.col("k.s").alias("s"))  # the text that gave the class
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(s, 16384) for whole in batches for s in range(0, whole.num_rows, 16384)):

@@ -171,6 +171,58 @@ def test_pairs_of_a_large_class_come_from_many_parts(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_no_near_duplicate_at_the_threshold_is_left_out(spark):
+    """Pairs of which just half of the shingles, or one less or more, are in both; half of them amid boilerplate."""
+    rng = random.Random(52)
+    some = lambda n: [f"{rng.choice(WORDS)}x{rng.randrange(1000)}" for _ in range(n)]
+    common, rows = some(30), []
+    for i in range(200):
+        head, own = (common, 30) if i % 2 else ([], 60)
+        for size in (rng.randint(35, 95), 60):
+            base = some(own)
+            kept = min(own, -(-(own + size + 2 * len(head)) // 3) - len(head) + rng.randint(0, 2))
+            rows += [(f"a{i}-{size}", " ".join(head + base)), (f"b{i}-{size}", " ".join(head + base[:kept] + some(max(size - kept, 0))))]
+    found = neardup.near_duplicates(docs(spark, rows), "doc_id", "text", 0.5, 3, 12)
+    sets = {i: shingles(t, 3) for i, t in rows}
+    want = {tuple(sorted(p)) for p in combinations(sets, 2) if len(sets[p[0]] & sets[p[1]]) * 2 >= len(sets[p[0]] | sets[p[1]])}
+    assert {(r.a, r.b) for r in neardup.duplicate_pairs(found).collect()} == want and len(want) >= 200
+
+
+def test_an_id_of_two_texts_is_compared_by_the_one_that_counts(spark):
+    rng = random.Random(53)
+    rows = []
+    for i in range(20):
+        for kind in "xy":
+            base = [f"w{rng.randrange(40000)}" for _ in range(60)]
+            rows += [(f"d{i}", " ".join(base)), (f"{kind}{i}", " ".join(edited(rng, base, 1)))]
+    found = neardup.near_duplicates(docs(spark, rows), "doc_id", "text", 0.5, 3, 12)
+    assert sorted(r.a for r in neardup.duplicate_pairs(found).collect()) == sorted(f"d{i}" for i in range(20))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 40), st.integers(0, 200)), min_size=1, max_size=12), st.sampled_from([0.3, 0.5, 0.8, 1.0]), st.integers(1, 5), st.integers(0, 1000))
+def test_the_sieve_keeps_every_pair_that_is_alike(parts, least, words, seed):
+    """Sets of three kinds of items: from few items that many have, from a family's and their own."""
+    rng = np.random.default_rng(seed)
+    sets = [np.unique(np.concatenate([rng.permutation(60)[:a], 100 + rng.permutation(40)[:b], 1000 * (i + 1) + np.arange(c)])) for i, (a, b, c) in enumerate(parts)]
+    sets = [s for s in sets if len(s)]
+    if not sets:
+        return
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    h = neardup.mix(np.concatenate(sets).astype(np.uint64) + np.uint64(1))
+    sketch = neardup._sketches(doc, h, len(sets), words)
+    part, text, entry = neardup.index_entries(doc, h, (h >> np.uint64(54)).astype(np.uint16) // 100, least, 3)
+    got = set()
+    for p in range(3):
+        mine = np.flatnonzero(part == p)
+        tops = text[mine[entry[mine] & 1 == 1]]
+        head = np.concatenate([tops[:, None].astype(np.uint32), np.bincount(doc)[tops][:, None].astype(np.uint32), sketch[tops]], 1)
+        got |= set(map(tuple, neardup.sieve(head, entry[mine], least).tolist()))
+    alike = {(i, j) for i, j in combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) >= least * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    equal = {(i, j) for i, j in alike if np.array_equal(sets[i], sets[j])}
+    assert alike - equal <= got
+
+
 def test_near_duplicates_of_nothing(spark):
     found = neardup.near_duplicates(docs(spark, []), "doc_id", "text")
     assert neardup.duplicate_pairs(found).count() == 0 == neardup.duplicate_groups(found).count()
