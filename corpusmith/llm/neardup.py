@@ -207,7 +207,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, least: float = 0.
 
     mean = source.agg(F.avg(F.length("t"))).first()[0] or 0.0
     bits = int(np.clip(np.ceil(np.log2(max(mean, 1.0) / 6 * 2000)), 16, 20))  # about six letters a word
-    sketch = int(np.clip(np.ceil(max(mean, 1.0) / 6 * 3.5 / 64), 2, 16))  # 64-bit words; of three bits a shingle the sieve leaves 17 times the pairs
+    sketch = int(np.clip(np.ceil(max(mean, 1.0) / 6 * 3.5 / 64), 2, 16))  # 64-bit words; three instead of four leave 17 times the pairs at 76 shingles a text
     cells, shift = 1 << bits, np.uint64(64 - bits)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
